@@ -52,6 +52,12 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def table_bytes(df: DataFrame) -> int:
+    """plan_bytes, or where Catalyst knows nothing of the source, 4 KiB a row (one count)."""
+    known = plan_bytes(df)
+    return known if known < 1 << 50 else 4096 * df.count()
+
+
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions so that a task gets about per_task rows, never fewer than the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lines, oracles, quality, secrets
+from tidemark.llm import decontam, lines, oracles, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.keep_bitmaps(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside 13-word windows that a smaller doc_id holds as well are removed."""
+    return substrings.drop_repeated_windows(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside windows of 10 benchmark words."""
     hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -44,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_secret_scan, op2_line_dedup, op8_decontamination, op10_quality_rules)
+    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op8_decontamination, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lines, oracles, quality, secrets, substrings
+from tidemark.llm import decontam, lines, neardup, oracles, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated_windows(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, equal texts included."""
+    return neardup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside windows of 10 benchmark words."""
     hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -49,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op8_decontamination, op10_quality_rules)
+    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op5_near_duplicates, op8_decontamination, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 

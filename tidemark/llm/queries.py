@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lines, neardup, oracles, quality, secrets, substrings
+from tidemark.llm import decontam, jobs, lines, neardup, oracles, packing, quality, secrets, substrings, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; it is on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents; a null text has none."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
@@ -33,6 +40,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeated_windows(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2048 tokens."""
+    return packing.pack_sequences(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document, equal texts included."""
     return neardup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
@@ -47,6 +59,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_from") > 0).alias("contaminated"), longest.alias("longest_match"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of all documents in id order and read the files back."""
+    path = jobs.scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return tokenfiles.read_token_files(spark, path)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition coverage of every whole text of documents."""
     found = quality.repetition_quality(_table(spark, sf_dir, "documents"))
@@ -54,7 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op5_near_duplicates, op8_decontamination, op10_quality_rules)
+    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op4_packing, op5_near_duplicates, op8_decontamination, op9_token_files, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 

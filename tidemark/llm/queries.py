@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, jobs, lines, neardup, oracles, packing, quality, secrets, substrings, tokenfiles
+from tidemark.llm import decontam, html, jobs, langid, lines, neardup, oracles, packing, quality, secrets, substrings, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,19 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those whose crc32(doc_id) mod 3 isn't 1."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = lambda doc_id: F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
+    model = langid.fit(docs.filter(~held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside windows of 10 benchmark words."""
     hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -73,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op4_packing, op5_near_duplicates, op8_decontamination, op9_token_files, op10_quality_rules)
+    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op4_packing, op5_near_duplicates, op6_language_id, op7_html_text, op8_decontamination, op9_token_files, op10_quality_rules)
     return {f.__name__: f for f in made}
 
 

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark import registry
+from tidemark.queries import dating, grouping, planning  # noqa: F401  (they register their queries)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query: the census of destinations."""
-    return queries()["kind_census"](spark, sf_dir)
+    """The flagship query: orders as assets, from claims to verdicts to the census of destinations."""
+    return planning.target_path(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

@@ -96,8 +96,8 @@ def _answers(bucket: pa.Table) -> pa.Table:
     keys, group = keys[late], group[late]
     order = np.argsort(group, kind="stable")
     keys, group = keys[order], group[order]
-    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-    blobs = [keys[a:b].tobytes() for a, b in zip(head, [*head[1:], len(keys)], strict=True)]
+    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+    blobs = [keys[a:b].tobytes() for a, b in zip(head, np.r_[head[1:], len(keys)], strict=False)]
     return pa.table({"grp": pa.array(group[head], pa.int32()), "hashes": pa.array(blobs, pa.binary())})
 
 

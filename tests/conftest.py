@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]").appName("tidemark-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.adaptive.enabled", "false")  # tables of a few rows: compiling would take longest
         .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )

@@ -14,6 +14,7 @@ from tidemark.operators import corpus, evidence, pairing, verdict
 from tidemark.plans import executor
 from tidemark.plans.plan import Plan, build_plan
 from tidemark.sources import inventory, metadata
+from tidemark.sources.scratch import written
 
 
 @dataclass
@@ -31,7 +32,7 @@ def annotate(assets: DataFrame, now_year: int, raw: DataFrame | None = None) ->
     """VERDICT rows of all media files.
 
     Four static passes: own claims; originals that a file derives from; inference from the directory (cohort)
-    and from photos of the same camera (family). The evidence is cached, as every pass reads it again.
+    and from photos of the same camera (family). Evidence and verdicts are written, as every pass reads them again.
     """
     media = assets.filter(F.col("kind").isin(*V.MEDIA_KINDS))
     sources, facts = [], None
@@ -44,15 +45,16 @@ def annotate(assets: DataFrame, now_year: int, raw: DataFrame | None = None) ->
         claims = F.array_compact(F.array(evidence.claim("sidecar", metadata.exif_wall(F.col("original")), detail=F.concat(paths.base_of(F.col("sidecar")), F.lit(" (DateTimeOriginal)")))))
         sources.append(evidence.exploded(beside, claims, 3))
     spikes = corpus.spike_days(media.withColumn("ts", F.timestamp_millis(F.col("mtime_ms").cast("long"))), "ts")
-    claims = evidence.collect(assets, now_year, *sources).cache()
-    floor = corpus.floor_year(claims, now_year).cache()
+    claims = written(evidence.collect(assets, now_year, *sources), "evidence")
+    floor = corpus.floor_year(claims, now_year).first()["floor_year"]
     claims = evidence.union(claims, evidence.mtime_claims(media, spikes))
     if facts is not None:
         originals = claims.filter("kind = 'exif-original'").select("path", F.col("wall").alias("original_wall"))
         found = pairing.originals_of(facts, originals)
         inherited = F.array_compact(F.array(evidence.claim("derived-original", F.col("original_wall"), detail=F.col("original"))))
         claims = evidence.union(claims, evidence.exploded(found, inherited, 10))
-    first = verdict.resolve(claims, now_year, floor).cache()
+    claims = written(claims, "evidence")
+    first = written(verdict.resolve(claims, now_year, floor), "verdicts")
     unknown = first.filter("status = 'unknown'").select("path", paths.dir_of(F.col("path")).alias("dir"))
     cohort = unknown.join(corpus.cohorts(first).withColumnRenamed("year", "y"), "dir")
     year_claim = lambda kind, detail: F.array_compact(F.array(evidence.claim(kind, dates.wall(F.col("y"), F.lit(1), F.lit(1)).cast(WALL), date_only=True, detail=detail)))
@@ -64,7 +66,7 @@ def annotate(assets: DataFrame, now_year: int, raw: DataFrame | None = None) ->
         matched = pairing.family_match(queries.select("path", "dir", "model", "width", "height"), census).join(queries.select("path", "dir", "latest"), "path").join(census, ["dir", "model"])
         sure = matched.filter("first_year = last_year AND first_year <= latest").withColumn("y", F.col("first_year")).join(unknown.select("path"), "path", "left_semi")
         extra.append(evidence.exploded(sure, year_claim("family", F.concat_ws(" ", F.col("neighbours").cast("string"), "model")), 11))
-    return verdict.resolve(evidence.union(claims, *extra), now_year, floor).cache()  # a plan reads it for each of its tables
+    return written(verdict.resolve(evidence.union(claims, *extra), now_year, floor), "verdicts")
 
 
 def make_plan(found: Inventory, verdicts: DataFrame, decisions: DataFrame | None = None) -> Plan:

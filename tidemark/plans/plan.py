@@ -13,6 +13,7 @@ from tidemark.functions import paths
 from tidemark.functions import values as V
 from tidemark.operators import dedupe
 from tidemark.plans import buckets
+from tidemark.sources.scratch import written
 
 
 def suspicious_dirs(assets: DataFrame) -> DataFrame:
@@ -121,17 +122,18 @@ def build_plan(assets: DataFrame, verdicts: DataFrame, dirs: DataFrame, decision
     copied = dedupe.copies(assets, groups)
     rows = assets.select(F.col("path").alias("from"), paths.strip_review(F.col("path")).alias("path"), "kind", "sha256")
     rows = rows.join(verdicts.withColumnRenamed("path", "from"), "from", "left").join(copied.select(F.col("path").alias("from"), F.col("keeper").alias("duplicate_of")), "from", "left").withColumn("is_copy", F.col("duplicate_of").isNotNull())
-    made = buckets.bucketed(rows).cache()
-    marked = scattered(suspicious_of(rows.select("path", "kind")), made)
+    made = written(buckets.bucketed(written(rows, "assets")), "buckets")
+    marked = written(scattered(suspicious_of(made.select("path", "kind")), made), "suspicious")
     decided = marked if decisions is None else marked.join(decisions, "dir", "left").filter("NOT (decision <=> 'sort')")
-    held = held_by(rows.select("path", "kind").filter("kind <> 'other'"), decided).withColumnRenamed("dir", "review")
-    made = made.join(held, "path", "left").cache()  # every table of the plan is made of it
+    held = held_by(made.select("path", "kind").filter("kind <> 'other'"), decided).withColumnRenamed("dir", "review")
+    made = written(made.join(held, "path", "left"), "held")  # every table of the plan is made of it
     to = F.when(F.col("review").isNotNull(), F.concat(F.lit(f"{V.REVIEW_DIR}/"), F.col("path"))).otherwise(buckets.target())
     stays = (F.col("action") == "stay") & F.col("review").isNull()
     moving = made.filter(~stays).withColumn("to", to)
     same = paths.same_path(F.col("from"), F.col("to"))
     moves = collisions(moving.filter(~same).select("from", "to", "kind", "why", "duplicate_of", "review"))
-    operations = moves.select(F.lit("move").alias("op"), "from", F.col("final").alias("to"), "kind", F.when(F.col("review").isNotNull(), "held").otherwise(F.col("why")).alias("reason"), "duplicate_of", "review", (F.col("final") != F.col("to")).alias("collision_renamed")).cache()
+    operations = moves.select(F.lit("move").alias("op"), "from", F.col("final").alias("to"), "kind", F.when(F.col("review").isNotNull(), "held").otherwise(F.col("why")).alias("reason"), "duplicate_of", "review", (F.col("final") != F.col("to")).alias("collision_renamed"))
+    operations = written(operations, "operations")
     issues = made.filter("review IS NULL AND issue IS NOT NULL").select(F.col("from").alias("path"), "issue", F.lit(0).alias("seq"), F.lit(None).cast("string").alias("detail"))
     overruled = made.filter("review IS NULL").select(F.col("from").alias("path"), F.posexplode("disputed").alias("seq", "d")).select("path", F.col("d.reason").alias("issue"), (F.col("seq") + 1).alias("seq"), F.concat_ws(" ", "d.kind", "d.detail").alias("detail"))
     stay, in_place = made.filter(stays).select("from"), moving.filter(same).select("from")

@@ -32,12 +32,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in at least 5 documents stay in the largest doc_id alone."""
-    return lines.keep_bitmaps(_table(spark, sf_dir, "documents"))
+    return lines.keep_bitmaps(_table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside 13-word windows that a smaller doc_id holds as well are removed."""
-    return substrings.drop_repeated_windows(_table(spark, sf_dir, "documents"), with_text=False)
+    return substrings.drop_repeated_windows(_table(spark, sf_dir, "documents"), with_text=False).drop("removed")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     covered = F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    longest = F.array_max(F.transform("matches", lambda m: m["n_words"]))
-    return hits.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_from") > 0).alias("contaminated"), longest.alias("longest_match"))
+    return hits.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_from") > 0).alias("contaminated"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,14 +31,19 @@ def dirs_df(spark, rows=ASSETS):
     return spark.createDataFrame([(d,) for d in sorted(found)], "dir string")
 
 
-def planned(spark, rows=ASSETS, decisions=None):
+def planned(spark, rows=ASSETS, decisions=None, verdicts=None):
     assets = assets_df(spark, rows)
-    return plan.build_plan(assets, engine.annotate(assets, NOW), dirs_df(spark, rows), decisions)
+    return plan.build_plan(assets, verdicts or engine.annotate(assets, NOW), dirs_df(spark, rows), decisions)
 
 
 @pytest.fixture(scope="module")
-def golden(spark):
-    made = planned(spark)
+def verdicts(spark):
+    return engine.annotate(assets_df(spark), NOW)
+
+
+@pytest.fixture(scope="module")
+def golden(spark, verdicts):
+    made = planned(spark, verdicts=verdicts)
     return made, {r["from"]: r for r in made.operations.collect()}
 
 
@@ -67,10 +72,10 @@ def test_permutation(spark, golden):
     assert {r["from"]: r.to for r in planned(spark, mixed).operations.collect()} == {k: v.to for k, v in golden[1].items()}
 
 
-def test_idempotence(spark, golden):
+def test_idempotence(spark, verdicts):
     """Planning the planned layout moves nothing; held folders were answered before."""
     answers = spark.createDataFrame([("misc", "sort")], "dir string, decision string")
-    first = planned(spark, decisions=answers)
+    first = planned(spark, decisions=answers, verdicts=verdicts)
     moved = {r["from"]: r.to for r in first.operations.collect()}
     again = [(moved.get(p, p), k, c) for p, k, c in ASSETS]
     second = planned(spark, again, answers)
@@ -81,10 +86,10 @@ def test_emptied(golden):
     assert [r.dir for r in golden[0].emptied.collect()] == ["deep/er", "2013/осень 2013", "2013/зима", "2012/other", "x", "two", "phone", "one", "misc", "deep"]
 
 
-def test_keeper_reasons(spark):
+def test_keeper_reasons(spark, verdicts):
     rows = assets_df(spark).filter("sha256 = 'g'")
     for order in ("path", "path DESC"):
-        found = dedupe.duplicate_groups(rows.orderBy(order.split()[0], ascending="DESC" not in order), engine.annotate(assets_df(spark), NOW)).first()
+        found = dedupe.duplicate_groups(rows.orderBy(order.split()[0], ascending="DESC" not in order), verdicts).first()
         assert (found.keeper, found.n) == ("2012/dup.jpg", 3)
         assert found.reason == "у него самая надёжная дата; далее — его имя не помечено как копия"
 
@@ -165,7 +170,7 @@ def mp4(seconds):
 @pytest.fixture
 def tree(tmp_path):
     for path, content in {
-        "cam/p1.jpg": jpeg("2013:07:04 10:00:00"), "cam/p2.jpg": jpeg("2014:02:09 11:09:09", "Adobe Photoshop CS3"), "vid/clip.mp4": mp4(1_527_953_400), "cam/IMG_20140121_183801.jpg": jpeg(), "copy/IMG_20140121_183801.jpg": jpeg(), "docs/a.txt": b"text", "empty/.keep/x.tmp": b"x",
+        "cam/p1.jpg": jpeg("2013:07:04 10:00:00"), "cam/p2.jpg": jpeg("2014:02:09 11:09:09", "Adobe Photoshop CS3"), "vid/clip.mp4": mp4(1_527_953_400), "cam/IMG_20140121_183801.jpg": jpeg(), "copy/IMG_20140121_183801 (1).jpg": jpeg(), "docs/a.txt": b"text", "empty/.keep/x.tmp": b"x",
     }.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(content)
@@ -181,11 +186,12 @@ def contents(root):
 def test_scan_apply_and_roll_back(spark, tree):
     found = engine.scan(spark, str(tree))
     raw = metadata.read_raw(found.assets, str(tree))
-    verdicts = {r.path: r for r in engine.annotate(found.assets, NOW, raw).collect()}
+    annotated = engine.annotate(found.assets, NOW, raw)
+    verdicts = {r.path: r for r in annotated.collect()}
     assert (verdicts["cam/p1.jpg"].winner, verdicts["cam/p1.jpg"].date) == ("exif-original", "2013-07-04 10:00:00")
     assert verdicts["cam/p2.jpg"].status == "unknown" and verdicts["cam/p2.jpg"].disputed[0].reason == "editor-save-date"
     assert verdicts["vid/clip.mp4"].winner == "container-created" and verdicts["vid/clip.mp4"].year == 2018
-    made = engine.make_plan(found, engine.annotate(found.assets, NOW, raw))
+    made = engine.make_plan(found, annotated)
     made.operations, made.emptied = made.operations.cache(), made.emptied.cache()
     made.operations.count(), made.emptied.count()
     before = contents(tree)

@@ -4,8 +4,9 @@ Strong spans (assignments of 12+ characters, access identifiers, long hex) are
 always reported. Weak parts are collected beside them: identifiers such as
 `client_id=...`, short assigned secrets, mixed-class strings, endpoints. A weak
 part is reported only when a complementary part lies in the same scope (a block
-between blank lines) within REACH code points. Both sides of that
-join are intervals of one text, so it is made by bisection over sorted places
+between blank lines) within REACH code points. A part is no complement of another
+reading of its own value; only a secret inside a URL belongs to that URL. Both sides
+of that join are intervals of one text, so it is made by bisection over sorted places
 inside the row: linear memory, no shuffle, no group to skew.
 
 One narrow map over the whole texts. A null text is empty and has no spans. Each
@@ -16,7 +17,8 @@ starts are ordered by kind as listed. An empty table gives an empty table.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:client|account|user|tenant|app|access_?key|key)(?:[_-]?id|[_-]?name|name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9._@-]{3,}""", re.ASCII | re.IGNORECASE)
-_SHORT = re.compile(r"""(?<![A-Za-z0-9])(?:pass|pwd|password|passwd|secret|token|api_?key|auth|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.ASCII | re.IGNORECASE)
-_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+_SHORT = re.compile(r"""(?<![A-Za-z0-9])(?:pass|pwd|password|passwd|(?:secret|private)(?:[_-]?access)?[_-]?key|secret|token|api_?key|auth|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.ASCII | re.IGNORECASE)
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 _ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host|endpoint|server|base_url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{3,})""", re.ASCII | re.IGNORECASE)
 _SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -55,33 +57,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _weak_parts(text: str) -> list[tuple[int, int, int]]:
     found = []
     if ":" in text or "=" in text:
-        for kind, pattern in ((3, _IDENTIFIER), (4, _SHORT), (5, _ENDPOINT)):
+        for kind, pattern in ((4, _SHORT), (3, _IDENTIFIER), (5, _ENDPOINT)):
             found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
-        for m in _MIXED.finditer(text):
-            s = m.group()
-            if any(c.isdigit() for c in s) and s.upper() != s and s.lower() != s:
-                found.append((m.start(), 4, m.end()))
+        named = [(s, e) for s, k, e in found if k == 4]  # in order and apart; 'access_key=' inside 'secret_access_key=' is no identifier
+        found = [(s, k, e) for s, k, e in found if k != 3 or not (n := bisect_left(named, (s,))) or named[n - 1][1] <= s]
+    for m in _MIXED.finditer(text):
+        s = m.group()
+        if any(c.isdigit() for c in s) and s.upper() != s and s.lower() != s:
+            found.append((m.start(), 4, m.end()))
     return sorted(set(found))
 
 
+def _meeting(places: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """A test whether one of the places has a code point of start to end."""
+    at = np.array(sorted(places), np.int64).reshape(-1, 2)
+    reach = np.maximum.accumulate(at[:, 1]) if len(at) else at[:, 1]
+    return lambda start, end: bool((n := np.searchsorted(at[:, 0], end)) and reach[n - 1] > start)
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The weak parts whose complements co-occur in their scope; those inside a strong span are left out."""
     weak = _weak_parts(text)
     if not weak or not (base or len({k for _, k, _ in weak}) > 1):
         return []
-    taken = np.array([(s, e) for s, _, e in base], np.int64).reshape(-1, 2)
-    reach = np.maximum.accumulate(taken[:, 1]) if len(taken) else taken[:, 1]
-    free = [(s, k, e) for s, k, e in weak if not (n := np.searchsorted(taken[:, 0], e)) or reach[n - 1] <= s]
+    taken = _meeting([(s, e) for s, _, e in base])
+    free = [(s, k, e) for s, k, e in weak if not taken(s, e)]
     cuts = np.array([m.start() for m in _SCOPE.finditer(text)], np.int64)
-    places = {k: np.array(sorted((s, e) for s, j, e in (*base, *free) if KINDS[j] == k), np.int64).reshape(-1, 2) for k in KINDS}
-    last = {k: np.maximum.accumulate(p[:, 1]) if len(p) else p[:, 1] for k, p in places.items()}
+    places = {k: [(s, e) for s, j, e in (*base, *free) if KINDS[j] == k] for k in KINDS}
+    starts = {k: np.array(sorted(s for s, _ in p), np.int64) for k, p in places.items()}
+    ends = {k: np.array(sorted(e for _, e in p), np.int64) for k, p in places.items()}
+    is_url = lambda s, e: text.find("://", s, e) >= 0
+    in_url, holds_secret = _meeting([p for p in places["endpoint"] if is_url(*p)]), _meeting(places["secret"])
     out = []
     for s, k, e in free:
         scope = np.searchsorted(cuts, s, "right")
         low = max(s - REACH, int(cuts[scope - 1]) if scope else 0)
         high = min(e + REACH, int(cuts[scope]) if scope < len(cuts) else len(text))
-        # interval join: some complement starts before high and ends after low
-        if any((n := np.searchsorted(places[c][:, 0], high)) and last[c][n - 1] > low for c in COMPLEMENTS[KINDS[k]]):
+        # interval join: some complement ends after low and by s, or starts from e on and before high
+        near = any(np.searchsorted(ends[c], low, "right") < np.searchsorted(ends[c], s, "right") or np.searchsorted(starts[c], e) < np.searchsorted(starts[c], high) for c in COMPLEMENTS[KINDS[k]])
+        if near or k == 4 and in_url(s, e) or k == 5 and is_url(s, e) and holds_secret(s, e):
             out.append((s, k, e))
     return out
 

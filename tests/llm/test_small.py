@@ -345,6 +345,17 @@ def test_html(spark):
     assert html.main_texts(df.filter("false")).count() == 0
 
 
+def test_repeated_runs_go_from_containers(spark):
+    said = "Welcome to our site dear reader please log in here now"
+    wrapped = [f"<div class='content'><div>{said}</div><p>{prose(400 + i, 12)}</p></div>" for i in range(3)]
+    whole = [f"<div>{said}</div><article><p>{said}</p><p>{prose(410 + i, 12)}</p></article>" for i in range(2)]
+    main = f"<main><p>{said} {prose(420, 12)}</p></main>"
+    rows = [(i, f"https://a.org/{i}", h) for i, h in enumerate([*wrapped, *whole, main])] + [(9, "https://b.org", main)]
+    found = by_id(html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)), "page_id")
+    assert [found[i].text for i in range(6)] == [*(prose(400 + i, 12) for i in range(3)), *(f"{said}\n{prose(410 + i, 12)}" for i in range(2)), prose(420, 12)]
+    assert found[9].text == f"{said} {prose(420, 12)}"
+
+
 def test_repeated_tokens_is_the_naive_count():
     rng = random.Random(6)
     streams = [[rng.choice("abc") for _ in range(rng.randrange(0, 30))] for _ in range(6)]

@@ -8,9 +8,10 @@ streams of a shard's pages are concatenated and their suffixes sorted by prefix
 doubling up to RUN tokens; a run of that length that stands on several distinct pages
 is boilerplate. Its tokens are removed and the unique runs between them stay.
 
-What markup names as the article (article, main, a content container) is kept whole,
-as copies of an article on two pages are still articles; the repeated runs are
-removed from pages that name none. Menus, headers, footers, sidebars, notices,
+Runs are counted over all visible blocks of every page. What markup names as the
+article itself (article, role=article) is kept whole, as copies of an article on two
+pages are still articles; the repeated runs are removed from the blocks of every other
+page, also from those of main and of content containers. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments go by tag, role, class or id.
 
 Null and empty pages give an empty text. Each row is its own page in every count but
@@ -124,12 +125,27 @@ class _Page:
         return False, inside + mark
 
 
-def _chosen(page: _Page) -> tuple[list[str], bool]:
-    """The blocks of the named article, or all that markup leaves, and whether one was named."""
+def _chosen(page: _Page) -> tuple[list[int], bool]:
+    """Numbers of the blocks of the named article, else container, else all that markup leaves, and whether an article was named."""
     for mark in "amc":
-        if found := [text for text, inside in page.blocks if mark in inside]:
-            return found, True
-    return [text for text, _ in page.blocks], False
+        if found := [i for i, (_, inside) in enumerate(page.blocks) if mark in inside]:
+            return found, mark == "a"
+    return [*range(len(page.blocks))], False
+
+
+def _stream(page: _Page) -> list[str]:
+    return " ".join(text for text, _ in page.blocks).split(" ")
+
+
+def _text(page: _Page, gone: np.ndarray) -> str:
+    """A page's main text, given which tokens of its stream are repeated."""
+    chosen, whole = _chosen(page)
+    if whole:
+        return "\n".join(page.blocks[i][0] for i in chosen)
+    words = [text.split(" ") for text, _ in page.blocks]
+    ends = np.cumsum([len(w) for w in words])
+    kept = (" ".join(w for w, g in zip(words[i], gone[ends[i] - len(words[i]) : ends[i]], strict=True) if not g) for i in chosen)
+    return "\n".join(x for x in kept if x)
 
 
 def repeated_tokens(streams: list[list[str]], run: int = RUN, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
@@ -165,22 +181,11 @@ def repeated_tokens(streams: list[list[str]], run: int = RUN, min_pages: int = M
 
 def _shard(pages: list[str]) -> list[str]:
     """The main texts of some pages of one host."""
-    parsed = [_chosen(_Page(html)) for html in pages]
-    texts = ["\n".join(blocks) for blocks, _ in parsed]
-    if all(named for _, named in parsed):
-        return texts  # no page on which repetition would decide
-    distinct = {html: i for i, html in reversed([*enumerate(pages)])}
-    numbers = sorted(distinct.values())
-    covered = dict(zip(numbers, repeated_tokens([" ".join(parsed[i][0]).split(" ") for i in numbers]), strict=True))
-    for i, (blocks, named) in enumerate(parsed):
-        if not named:
-            gone, at, kept = covered[distinct[pages[i]]], 0, []
-            for block in blocks:
-                words = block.split(" ")
-                kept.append(" ".join(w for w, g in zip(words, gone[at : at + len(words)], strict=True) if not g))
-                at += len(words)
-            texts[i] = "\n".join(x for x in kept if x)
-    return texts
+    distinct = {html: i for i, html in enumerate(dict.fromkeys(pages))}
+    parsed = [_Page(html) for html in distinct]
+    covered = repeated_tokens([_stream(page) for page in parsed])
+    texts = [_text(page, gone) for page, gone in zip(parsed, covered, strict=True)]
+    return [texts[distinct[html]] for html in pages]
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

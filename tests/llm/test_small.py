@@ -356,6 +356,16 @@ def test_repeated_runs_go_from_containers(spark):
     assert found[9].text == f"{said} {prose(420, 12)}"
 
 
+def test_runs_are_counted_over_the_host(spark):
+    said = "Welcome to our site dear reader please log in here now"
+    htmls = [f"<p>{prose(1000 + i, 12)}</p>" + (f"<div>{said}</div>" if i % 100 == 0 else "") for i in range(300)]
+    rows = [(i, f"https://a.org/{i}", h) for i, h in enumerate(htmls)] + [(900 + i, f"https://b.org/{i}", f"<p>{prose(990, 12)} {i % 2}</p>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {**{i: prose(1000 + i, 12) for i in range(300)}, **{900 + i: f"{prose(990, 12)} {i % 2}" for i in range(4)}}
+    assert {r.page_id: r.text for r in html.main_texts(df.repartition(3)).collect()} == want
+    assert {r.page_id: r.text for r in html.main_texts(df.repartition(5), shard_bytes=2000).collect()} == want
+
+
 def test_repeated_tokens_is_the_naive_count():
     rng = random.Random(6)
     streams = [[rng.choice("abc") for _ in range(rng.randrange(0, 30))] for _ in range(6)]

@@ -234,6 +234,25 @@ def test_near_duplicates(spark, empty):
     assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_a_bucket_with_many_clusters(spark):
+    template, rows = prose(500, 150, 50_000), []
+    for k in range(12):  # the two copies share no five words in a row but the template's
+        own = prose(510 + k, 50, 50_000).split()
+        rows += [(2 * k, f"{template} {' '.join(own)}"), (2 * k + 1, f"{template} {' '.join(w if i % 2 else f'x{k}' for i, w in enumerate(own))}")]
+    found = neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i // 2 * 2 for i in range(24)}
+
+
+@pytest.mark.parametrize("block", [2, 3, 100])
+def test_untried_pairs_are_all_pairs_between_components(spark, block):
+    names = [f"n{i:02}" for i in range(9)]
+    buckets = [(1, n) for n in names] + [(2, n) for n in names[:4]] + [(3, n) for n in names[:2]]
+    roots = {"n00": "n00", "n01": "n00", "n05": "n05", "n06": "n05"}
+    found = neardup._untried(spark.createDataFrame(buckets, "sketch long, node string"), spark.createDataFrame([*roots.items()], "node string, root string"), spark.createDataFrame([("n00", "n08"), ("n03", "n02")], "node string, leader string"), block)
+    want = {(a, b) for a in names for b in names if a > b and roots.get(a, a) != roots.get(b, b)} - {("n08", "n00"), ("n03", "n02")}
+    assert sorted((r.node, r.leader) for r in found.collect()) == sorted(want)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(f"{a:03}", f"{b:03}") for a, b in [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(50, 120), rng.randrange(50, 120)) for _ in range(60)]]

@@ -9,12 +9,14 @@ passages don't count as equal.
 1. Equal texts become one node (128-bit hash), so copies cost one row each.
 2. Nodes that share a sketch are compared with the bucket's leader only (a star,
    so a bucket of n nodes gives n - 1 pairs). Those that the alignment rejects get
-   a new leader among themselves, for ROUNDS rounds.
+   a new leader among themselves, for ROUNDS rounds. Then all pairs of a bucket that
+   are in different components so far are compared, in blocks of BLOCK nodes: what
+   one component holds already needs no more links, and nothing else stays untried.
 3. A pair holds if the word edit distance is at most (1 - SIMILARITY) of the longer
    text. Bag-of-words distance bounds it from below; the rest is decided by a
    bit-parallel alignment inside a diagonal band of that width.
 4. Connected components of the verified pairs, by alternating star contractions in
-   Spark; each round is written to the shared folder.
+   Spark, before and after that; each round is written to the shared folder.
 
 The edit similarity of 0.8 was chosen because the sketch is made for it; pairs
 of five-word shingle Jaccard similarity 0.8 or more satisfy it as well.
@@ -41,6 +43,7 @@ from tidemark.llm import jobs
 from tidemark.llm import textkernel as K
 
 SHINGLE, ORDER, SKETCHES, SIMILARITY, ROUNDS = 5, 2, 32, 0.8, 2
+BLOCK = 256
 _INDEX_BITS = 22
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -204,6 +207,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not converge")
 
 
+def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, leader): the pairs of a bucket that are in different components and were not compared yet, once each."""
+    rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / block).alias("blocks")).filter("low <> high")
+    rows = rows.join(mixed.select("sketch", "blocks"), "sketch").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("sketch", "node", "root", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
+    other = rows.select("sketch", "p", "q", F.col("node").alias("leader"), F.col("root").alias("leader_root"), F.col("block").alias("leader_block"))
+    apart = "node > leader AND root <> leader_root AND (p = q OR block <> leader_block)"
+    pairs = rows.join(other, ["sketch", "p", "q"]).filter(apart).select("node", "leader").distinct()
+    tried = tried.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
+    return pairs.join(tried, ["node", "leader"], "left_anti")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, class_id (the least id of its class), class_size, exact_copies (rows with the same text)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -217,17 +234,24 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = rows.join(picked, rows["id"].eqNullSafe(picked["picked"]), "left_semi")
     words = texts.select("text").mapInArrow(_worded, "node binary, words binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     words = jobs.materialize(words, "words")
-    found = None
+    sides = words.withColumnRenamed("node", "leader").withColumnRenamed("words", "leader_words")
+    verified = lambda pairs: pairs.join(words, "node").join(sides, "leader").mapInArrow(_verified, "node binary, leader binary")
+    linked = lambda found: components(found.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    full = shared.select("sketch", "node").unionByName(shared.select("sketch", F.col("leader").alias("node")).distinct())
+    found = tried = None
     for k in range(rounds):
         pairs = shared.select("node", "leader").distinct()
-        sides = words.withColumnRenamed("node", "leader").withColumnRenamed("words", "leader_words")
-        good = jobs.materialize(pairs.join(words, "node").join(sides, "leader").mapInArrow(_verified, "node binary, leader binary"), f"pairs-{k}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        good = jobs.materialize(verified(pairs), f"pairs-{k}")
         found = good if found is None else found.unionByName(good)
         if k + 1 < rounds:
             rest = shared.join(good, ["node", "leader"], "left_anti").select("sketch", "node")
             leaders = rest.groupBy("sketch").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other").drop("other")
             shared = jobs.materialize(rest.join(leaders, "sketch").filter("node <> leader"), f"shared-{k}")
-    roots = components(found.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    roots = linked(found)
+    more = jobs.materialize(verified(_untried(full, roots, tried)), "pairs-untried")
+    if not more.isEmpty():
+        roots = linked(roots.select("node", F.col("root").alias("leader")).unionByName(more))
     rooted = nodes.select("node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
     known = rooted.join(classes, "root").select("node", "class_id", "class_size", F.col("copies").alias("exact_copies"))

@@ -253,6 +253,49 @@ def test_untried_pairs_are_all_pairs_between_components(spark, block):
     assert sorted((r.node, r.leader) for r in found.collect()) == sorted(want)
 
 
+def test_sketches_of_a_very_long_text():
+    """More words than the places of 22 bits: nothing raises, and an edit at the end changes few sketches."""
+    words = np.random.default_rng(3).integers(1, 1 << 62, 4_300_000).astype(np.uint64)
+    other = np.r_[words[:-10], words[:3]]
+    found = neardup.sketches(np.r_[words, other], np.array([0, len(words), len(words) + len(other)]), count=2)
+    assert (found[0] == found[1]).all() and len(np.unique(found[0])) == 2
+    wide = [neardup.sketches(words[:5000], np.array([0, 5000]), count=6, index_bits=b) for b in (22, 30)]
+    assert (wide[0] == wide[1]).all()
+
+
+def test_alignment_of_long_near_copies():
+    a = np.random.default_rng(4).integers(0, 1 << 31, 300_000).astype(np.uint32)
+    b = np.delete(np.r_[a[:100_000], a[5:9], a[100_000:]], [7, 250_000])
+    assert neardup.similar(a, b) and not neardup.similar(a, a[::-1])
+
+
+@pytest.mark.parametrize(("n", "edits"), [(5, 1), (7, 1), (10, 2), (22, 3), (24, 4), (60, 6), (300, 30)])
+def test_recall_of_scattered_edits(n, edits):
+    """Pairs of edit similarity 0.8 or more share a sketch, short ones too (all, or nearly all where the edits are dense)."""
+    rng, hit = np.random.default_rng(n), 0
+    for _ in range(100):
+        words = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        copy = words.copy()
+        copy[rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 62, edits).astype(np.uint64)
+        lists = neardup._of_both_kinds(np.r_[words, copy], np.array([0, n, 2 * n])).to_pylist()
+        hit += bool(set(lists[0]) & set(lists[1]))
+    assert hit >= (80 if n < 8 else 95)
+
+
+def test_cells_admit_every_similar_pair():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 50, rng.integers(1, 60)).astype(np.uint32) for _ in range(60)]
+    texts += [np.r_[t[: len(t) - 1], t[:1]] for t in texts[:30]]
+    root, size = rng.integers(0, 40, 90), np.array([len(t) for t in texts])
+    bags = np.stack([neardup.folded_bag(t) for t in texts])
+    bags[[3, 33]] = 255  # texts whose counters overflow are never ruled out by them
+    for left, right in ((np.arange(90), None), (np.arange(40), np.arange(40, 90))):
+        found = {(min(p), max(p)) for p in zip(*map(np.ndarray.tolist, neardup._cell_pairs(left, right, root, size, bags)), strict=True)}
+        pairs = [(a, b) for a in range(90) for b in range(a + 1, 90) if right is None or (a < 40) != (b < 40)]
+        assert found >= {(a, b) for a, b in pairs if root[a] != root[b] and neardup.similar(texts[a], texts[b])}
+        assert all(root[a] != root[b] for a, b in found)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(f"{a:03}", f"{b:03}") for a, b in [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(50, 120), rng.randrange(50, 120)) for _ in range(60)]]

@@ -39,10 +39,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later plan reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         path = hadoop(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

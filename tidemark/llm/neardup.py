@@ -4,28 +4,35 @@ A document's k-mers are its five-word shingles, each labelled with its occurrenc
 number. For each of SKETCHES hash functions the ORDER smallest labelled k-mers are
 taken and kept in text order; their ordered hash is the sketch. Two texts share a
 sketch with a probability that falls with their edit distance, and reordered
-passages don't count as equal.
+passages don't count as equal. A short text has too few five-word shingles to share
+two of them after an edit: below LONG words the k-mers have two words, and texts from
+0.8 LONG to LONG words have both kinds, so that similar texts always have one in common.
 
 1. Equal texts become one node (128-bit hash), so copies cost one row each.
 2. Nodes that share a sketch are compared with the bucket's leader only (a star,
    so a bucket of n nodes gives n - 1 pairs). Those that the alignment rejects get
-   a new leader among themselves, for ROUNDS rounds. Then all pairs of a bucket that
-   are in different components so far are compared, in blocks of BLOCK nodes: what
-   one component holds already needs no more links, and nothing else stays untried.
-3. A pair holds if the word edit distance is at most (1 - SIMILARITY) of the longer
+   a new leader among themselves, for ROUNDS rounds.
+3. All pairs of a bucket that are in different components after that are tried as
+   well, so no leader hides a link. Folded bags of words (BINS counters a text) bound
+   their similarity from above in blocks of a few hundred nodes; only the few pairs which
+   that bound admits leave the block and are aligned.
+4. A pair holds if the word edit distance is at most (1 - SIMILARITY) of the longer
    text. Bag-of-words distance bounds it from below; the rest is decided by a
-   bit-parallel alignment inside a diagonal band of that width.
-4. Connected components of the verified pairs, by alternating star contractions in
-   Spark, before and after that; each round is written to the shared folder.
+   bit-parallel alignment inside a diagonal band, which grows up to that width.
+5. Connected components of the verified pairs, by alternating star contractions in
+   Spark, before and after step 3; each round is written to the shared folder.
+
+Keys that many rows share (a sketch, a leader, a hub, a class, a text) meet their one
+other side by broadcast or salted, see `spread_join` and `_with_words`.
 
 The edit similarity of 0.8 was chosen because the sketch is made for it; pairs
 of five-word shingle Jaccard similarity 0.8 or more satisfy it as well.
 
-Texts without words are equal to their exact copies only; so are texts of fewer
-than five words, whose one shingle is the whole text. Null texts count as empty.
+Texts without words are equal to their exact copies only. Null texts count as empty.
 Null ids take part, and a class without any other id has a null class id. Rows with
-one id are nodes of their own, by text. Extra columns are not read. An empty table
-gives an empty table.
+one id are nodes of their own, by text. Extra columns are not read. Texts may have any
+length: the places of up to 2**22 words share a 64-bit word with the k-mer's hash, longer
+ones take more of its bits. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,22 +49,29 @@ from pyspark.sql import types as T
 from tidemark.llm import jobs
 from tidemark.llm import textkernel as K
 
-SHINGLE, ORDER, SKETCHES, SIMILARITY, ROUNDS = 5, 2, 32, 0.8, 2
-BLOCK = 256
+SHINGLE, ORDER, SKETCHES, SIMILARITY, ROUNDS = 5, 2, 48, 0.8, 2
+#: Texts of fewer words have k-mers of two words.
+LONG, SHORT_SHINGLE = 25, 2
+#: Rows of one key are too many beyond LEAST_HEAVY and beyond a share of 1 / HEAVY of all rows.
+HEAVY, LEAST_HEAVY = 10_000, 1_000
+#: Nodes of a block and counters of a folded bag of words.
+BLOCK, BINS = 256, 128
 _INDEX_BITS = 22
+#: Width of the first band that an alignment tries; it is widened four times until the pair holds or the whole width was tried.
+FIRST_BAND = 64
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _labelled(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _labelled(words: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Occurrence-labelled k-mers of a batch in text order, and their bounds by row."""
     n = np.diff(bounds)
-    count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
+    count = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(np.int64))
     edges = np.r_[0, np.cumsum(count)]
     row = np.repeat(np.arange(len(n)), count)
     at = bounds[:-1][row] + np.arange(len(row)) - edges[:-1][row]
     keys = np.empty(len(row), np.uint64)
-    for length, hashes in K.rolling(words, (1, 2, 3, 4, SHINGLE)):
-        mine = np.minimum(n[row], SHINGLE) == length
+    for length, hashes in K.rolling(words, tuple(range(1, shingle + 1))):
+        mine = np.minimum(n[row], shingle) == length
         keys[mine] = hashes[at[mine]]
     salted = keys ^ K.mix(np.arange(1, len(n) + 1, dtype=np.uint64))[row]
     order = np.argsort(salted, kind="stable")
@@ -69,9 +83,9 @@ def _labelled(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, edges
 
 
-def sketches(words: np.ndarray, bounds: np.ndarray, count: int = SKETCHES) -> np.ndarray:
+def sketches(words: np.ndarray, bounds: np.ndarray, count: int = SKETCHES, shingle: int = SHINGLE, index_bits: int = _INDEX_BITS) -> np.ndarray:
     """Order MinHash of each row: (rows, count) hashes; rows without words have zeros."""
-    keys, edges = _labelled(words, bounds)
+    keys, edges = _labelled(words, bounds, shingle)
     out = np.zeros((len(bounds) - 1, count), np.uint64)
     live = np.flatnonzero(np.diff(edges))
     if not len(live):
@@ -79,9 +93,7 @@ def sketches(words: np.ndarray, bounds: np.ndarray, count: int = SKETCHES) -> np
     starts = edges[:-1][live]
     size = np.diff(edges)[live]
     local = (np.arange(len(keys)) - np.repeat(starts, size)).astype(np.uint64)
-    low = np.uint64((1 << _INDEX_BITS) - 1)
-    if size.max() > int(low):
-        raise ValueError("a text has more than 4 million words")
+    low = np.uint64((1 << max(index_bits, int(size.max()).bit_length())) - 1)
     for j in range(count):
         factor, mask = (np.uint64(x) | np.uint64(1) for x in K.mix(np.array([2 * j + 1, 2 * j + 2], np.uint64)))
         value = (((keys ^ mask) * factor) & ~low) | local
@@ -92,7 +104,7 @@ def sketches(words: np.ndarray, bounds: np.ndarray, count: int = SKETCHES) -> np
             chosen.append(place)
             value[starts + place] = _FULL
         places = np.sort(np.stack(chosen), 0)  # back in text order; a single k-mer stands for itself
-        value = np.full(len(live), j + 1, np.uint64)
+        value = np.full(len(live), (shingle << 16) + j + 1, np.uint64)
         for place in places:
             value = K.mix(value * np.uint64(0x9E3779B97F4A7C15) + keys[starts + place])
         out[live, j] = np.where(value == 0, 1, value)
@@ -103,24 +115,44 @@ def _nodes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _of_both_kinds(words: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Each row's sketches: of five-word shingles for long texts, of shorter ones for short texts, of both between."""
+    n = np.diff(bounds)
+    kinds = []
+    for shingle, mine in ((SHINGLE, n >= int(SIMILARITY * LONG)), (SHORT_SHINGLE, (n > 0) & (n < LONG))):
+        rows = np.flatnonzero(mine)
+        part = np.repeat(mine, n)
+        kinds.append((rows, sketches(words[part], np.r_[0, np.cumsum(n[rows])], shingle=shingle)))
+    row = np.concatenate([np.repeat(rows, SKETCHES) for rows, _ in kinds])
+    order = np.argsort(row, kind="stable")
+    offsets = np.searchsorted(row[order], np.arange(len(n) + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x.ravel() for _, x in kinds])[order].view(np.int64)))
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, node, sketches)"""
     for piece in K.pieces(batches, "text"):
         data, offsets = K.text_bytes(piece.column(1))
         starts, ends, bounds = K.word_spans(data, offsets, K.NOT_WHITE)
-        found = sketches(K.span_hashes(data, starts, ends), bounds)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, SKETCHES), pa.int32()), pa.array(found.ravel().view(np.int64)))
+        lists = _of_both_kinds(K.span_hashes(data, starts, ends), bounds)
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(_nodes(data, offsets), pa.binary()), lists], ["id", "node", "sketches"])
 
 
+def folded_bag(words: np.ndarray) -> np.ndarray:
+    """Words counted in BINS counters; one that overflows makes all of them full, which bounds nothing."""
+    counts = np.bincount(words % BINS, minlength=BINS)
+    return np.full(BINS, 255, np.uint8) if (counts > 254).any() else counts.astype(np.uint8)
+
+
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, words): each text as 32-bit word hashes."""
+    """(node, words, size, bag): each text as 32-bit word hashes."""
     for piece in K.pieces(batches, "text"):
         data, offsets = K.text_bytes(piece.column(0))
         starts, ends, bounds = K.word_spans(data, offsets, K.NOT_WHITE)
         words = (K.span_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32)
-        blobs = [words[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(_nodes(data, offsets), pa.binary()), pa.array(blobs, pa.binary())], ["node", "words"])
+        texts = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        columns = [pa.array(_nodes(data, offsets), pa.binary()), pa.array([x.tobytes() for x in texts], pa.binary()), pa.array(np.diff(bounds)), pa.array([folded_bag(x).tobytes() for x in texts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "words", "size", "bag"])
 
 
 def within_band(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -174,88 +206,214 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     mine[np.searchsorted(values, ua)] = ca
     if longest - int(np.minimum(mine, counts - mine).sum()) > most:
         return False
-    return within_band(*_trimmed(a, b), most)
+    a, b = _trimmed(a, b)
+    band = min(most, FIRST_BAND)  # near copies are mostly much nearer than they need be
+    while not (near := within_band(a, b, band)) and band < most:
+        band = min(most, 4 * band)
+    return near
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("words", "leader_words"))
+        a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("node_words", "leader_words"))
         good = [similar(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(a, b, strict=True)]
         yield batch.select(["node", "leader"]).filter(pa.array(good, pa.bool_()))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, limit: int) -> DataFrame:
+    """left with the row of right that has its key; right's column n says how many of left's rows have it, and goes.
+
+    left's rows of a key that more than `limit` of them share stay where they are, and the
+    few rows of right for such keys are broadcast; only the other rows are shuffled.
+    """
+    few = F.broadcast(right.filter(F.col("n") > limit).drop("n"))
+    rest = left.join(few.select(key), key, "left_anti").join(right.filter(F.col("n") <= limit).drop("n"), key)
+    return left.join(few, key).unionByName(rest)
+
+
+def _limit(rows: int) -> int:
+    """Rows of one key that are too many; fewer than HEAVY keys can have more."""
+    return max(LEAST_HEAVY, rows // HEAVY)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the least node of each connected component, for the nodes of edges (a, b).
 
-    Alternating large-star and small-star contractions; the neighbourhood of a hub is
-    never gathered, only its least member (a map-side combined aggregate).
+    Alternating large-star and small-star contractions. The neighbourhood of a hub is
+    never gathered: its least member is a map-side combined aggregate, which meets the
+    hub's edges by broadcast.
     """
+    spark = edges.sparkSession
     edges = jobs.materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+
     seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     for k in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, "a", _limit(2 * seen[0])).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, down, "a", _limit(2 * seen[0]))
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = jobs.materialize(new, f"edges-{k}")
-        before, seen = seen, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        new = jobs.materialize(new, f"edges-{k}")
+        before, seen = seen, new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        jobs.discard(spark, edges)
+        edges = new
         if seen == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError("components did not converge")
 
 
-def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, leader): the pairs of a bucket that are in different components and were not compared yet, once each."""
+def _with_words(pairs: DataFrame, words: DataFrame, column: str, rows: int) -> DataFrame:
+    """pairs with the words of one side; a text of very many pairs is copied to several salts."""
+    side = words.select(F.col("node").alias(column), F.col("words").alias(f"{column}_words"))
+    heavy = pairs.groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") > _limit(rows)).select(column, F.ceil(F.col("n") / _limit(rows)).alias("salts"))
+    one = F.lit(1).cast("long")
+    salted = pairs.join(F.broadcast(heavy), column, "left").withColumn("salt", F.pmod(F.xxhash64("node", "leader"), F.coalesce("salts", one))).drop("salts")
+    copied = side.join(F.broadcast(heavy), column, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", one) - 1))).drop("salts")
+    return salted.join(copied, [column, "salt"]).drop("salt")
+
+
+def verified(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
+    """The pairs (node, leader) whose words are similar, as a table."""
+    pairs = jobs.materialize(pairs.select("node", "leader"), f"candidates-{name}")
+    rows = pairs.count()
+    both = _with_words(_with_words(pairs, words, "node", rows), words, "leader", rows)
+    good = jobs.materialize(both.mapInArrow(_verified, "node binary, leader binary"), f"pairs-{name}")
+    jobs.discard(pairs.sparkSession, pairs)
+    return good
+
+
+def _cell_pairs(left: np.ndarray, right: np.ndarray | None, root: np.ndarray, size: np.ndarray, bags: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different components (left x right, or all of left) that lengths and folded bags admit."""
+    full = (bags == 255).all(1)
+    other, found = left if right is None else right, []
+    step = max(1, (1 << 16) // max(1, len(other)))
+    for k in range(0, len(left), step):
+        some = left[k : k + step]
+        i, j = np.divmod(np.arange(len(some) * len(other)), len(other))
+        keep = i + k < j if right is None else np.ones(len(i), bool)
+        i, j = some[i[keep]], other[j[keep]]
+        longest, shortest = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
+        least = longest - ((1 - similarity) * longest + 1e-9).astype(np.int64)  # words in common at least
+        keep = (root[i] != root[j]) & (shortest >= least)
+        i, j, least = i[keep], j[keep], least[keep]
+        for a in range(0, len(i), 1 << 14):
+            x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            keep = (np.minimum(bags[x], bags[y]).sum(1, dtype=np.int64) >= least[a : a + (1 << 14)]) | full[x] & full[y]
+            found.append((x[keep], y[keep]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *side]) for side in zip(*found, strict=True)) if found else (none, none)
+
+
+def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell (sketch, p, q) to the pairs that a cell admits; a cell is a few hundred rows."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
+        key = np.stack([rows[c].to_numpy() for c in ("sketch", "p", "q")], 1)
+        cuts = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]), len(key)]
+        node, block, size = rows["node"].combine_chunks(), rows["block"].to_numpy(), rows["size"].to_numpy()
+        root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bags = np.frombuffer(b"".join(x.as_buffer() for x in rows["bag"]), np.uint8).reshape(-1, BINS)
+        left, right = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            here = np.arange(a, b)
+            mine = block[a:b] == key[a, 1]
+            i, j = _cell_pairs(here[mine], None if key[a, 1] == key[a, 2] else here[~mine], root, size, bags)
+            left.append(i)
+            right.append(j)
+        i, j = node.take(pa.array(np.concatenate(left))).to_pylist(), node.take(pa.array(np.concatenate(right))).to_pylist()
+        both = [(max(x, y), min(x, y)) for x, y in zip(i, j, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], node.type), pa.array([y for _, y in both], node.type)], ["node", "leader"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        key = [rows[c].to_numpy() for c in ("sketch", "p", "q")]
+        last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+        whole = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on
+        if whole:
+            yield pairs_of(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+    if held:
+        yield pairs_of(pa.Table.from_batches(held))
+
+
+def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int = BLOCK, bags: DataFrame | None = None) -> DataFrame:
+    """(node, leader): the pairs of a bucket in different components that the bags admit and that weren't compared yet, once each.
+
+    In a bucket the nodes outside its largest component meet each other and that component's
+    nodes, in cells of about two blocks; the largest component's nodes don't meet each other.
+    """
     rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / block).alias("blocks")).filter("low <> high")
-    rows = rows.join(mixed.select("sketch", "blocks"), "sketch").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("sketch", "node", "root", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
-    other = rows.select("sketch", "p", "q", F.col("node").alias("leader"), F.col("root").alias("leader_root"), F.col("block").alias("leader_block"))
-    apart = "node > leader AND root <> leader_root AND (p = q OR block <> leader_block)"
-    pairs = rows.join(other, ["sketch", "p", "q"]).filter(apart).select("node", "leader").distinct()
+    sizes = rows.groupBy("sketch", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("sketch").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    small = F.col("all") <= block
+    rest, main = F.ceil((F.col("all") - F.col("most")) / block), F.ceil(F.col("most") / block)
+    mixed = mixed.select("sketch", F.when(~small, F.col("main")).alias("main"), F.when(small, 1).otherwise(rest).cast("long").alias("rest"), F.when(small, 0).otherwise(main).cast("long").alias("mains"), F.col("all").alias("n"))
+    mixed = jobs.materialize(mixed, "mixed-buckets")
+    total = mixed.agg(F.sum("n")).first()[0] or 0
+    rows = spread_join(rows, mixed, "sketch", _limit(total))
+    rows = rows.withColumn("outside", ~F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
+    spot = F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(F.col("outside"), F.pmod(spot, F.col("rest"))).otherwise(F.col("rest") + F.pmod(spot, F.greatest("mains", F.lit(1).cast("long")))))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("rest") + F.col("mains")).otherwise(F.col("rest")) - 1)))
+    rows = rows.select("node", "sketch", "root", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
+    width = jobs.shuffle_width(buckets.sparkSession, 2 * total, 500_000)
+    if bags is None:  # nothing known of the texts: every pair is admitted
+        bags = buckets.select("node").distinct().withColumn("size", F.lit(0).cast("long")).withColumn("bag", F.unhex(F.lit("FF" * BINS)))
+    cells = rows.join(bags, "node").select("sketch", "p", "q", "node", "root", "block", "size", "bag").repartition(width, "sketch", "p", "q").sortWithinPartitions("sketch", "p", "q")
+    kind = buckets.schema["node"].dataType.simpleString()
+    pairs = cells.mapInArrow(_admitted, f"node {kind}, leader {kind}").distinct()
     tried = tried.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
     return pairs.join(tried, ["node", "leader"], "left_anti")
 
 
+def _led(buckets: DataFrame, name: str) -> DataFrame:
+    """(sketch, node, leader) of the buckets with two nodes or more, the leader's own row included, as a table."""
+    leaders = jobs.materialize(buckets.groupBy("sketch").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), f"leaders-{name}")
+    total = leaders.agg(F.sum("n")).first()[0] or 0
+    led = jobs.materialize(spread_join(buckets, leaders, "sketch", _limit(total)), f"buckets-{name}")
+    jobs.discard(buckets.sparkSession, leaders)
+    return led
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, class_id (the least id of its class), class_size, exact_copies (rows with the same text)."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = jobs.materialize(rows.mapInArrow(_sketched, T.StructType([rows.schema[0], *T.StructType.fromDDL("node binary, sketches array<bigint>")])), "sketches")
-    nodes = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches"))
-    buckets = nodes.select("node", F.explode("sketches").alias("sketch")).filter("sketch <> 0")
-    leaders = buckets.groupBy("sketch").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other").drop("other")
-    shared = jobs.materialize(buckets.join(leaders, "sketch").filter("node <> leader"), "shared-buckets")
-    wanted = shared.select("node").unionByName(shared.select(F.col("leader").alias("node"))).distinct()
-    picked = sketched.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("picked")).select("picked").distinct()
+    nodes = jobs.materialize(sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")), "nodes")
+    first = shared = _led(nodes.select("node", F.explode("sketches").alias("sketch")), "0")
+    wanted = first.select("node").distinct()
+    picked = nodes.select("node", "least_id").join(wanted, "node", "left_semi").select(F.col("least_id").alias("picked")).distinct()
     texts = rows.join(picked, rows["id"].eqNullSafe(picked["picked"]), "left_semi")
-    words = texts.select("text").mapInArrow(_worded, "node binary, words binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    words = texts.select("text").mapInArrow(_worded, "node binary, words binary, size long, bag binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     words = jobs.materialize(words, "words")
-    sides = words.withColumnRenamed("node", "leader").withColumnRenamed("words", "leader_words")
-    verified = lambda pairs: pairs.join(words, "node").join(sides, "leader").mapInArrow(_verified, "node binary, leader binary")
-    linked = lambda found: components(found.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    full = shared.select("sketch", "node").unionByName(shared.select("sketch", F.col("leader").alias("node")).distinct())
-    found = tried = None
+    found: DataFrame | None = None
+    tried: DataFrame | None = None
     for k in range(rounds):
-        pairs = shared.select("node", "leader").distinct()
+        pairs = shared.filter("node <> leader").select("node", "leader").distinct()
         tried = pairs if tried is None else tried.unionByName(pairs)
-        good = jobs.materialize(verified(pairs), f"pairs-{k}")
+        good = verified(pairs, words, str(k))
         found = good if found is None else found.unionByName(good)
         if k + 1 < rounds:
-            rest = shared.join(good, ["node", "leader"], "left_anti").select("sketch", "node")
-            leaders = rest.groupBy("sketch").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other").drop("other")
-            shared = jobs.materialize(rest.join(leaders, "sketch").filter("node <> leader"), f"shared-{k}")
+            shared = _led(shared.filter("node <> leader").join(good, ["node", "leader"], "left_anti").select("sketch", "node"), str(k + 1))
+    linked = lambda pairs: components(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     roots = linked(found)
-    more = jobs.materialize(verified(_untried(full, roots, tried)), "pairs-untried")
+    more = verified(_untried(first.select("sketch", "node"), roots, tried, bags=words.select("node", "size", "bag")), words, "untried")
     if not more.isEmpty():
         roots = linked(roots.select("node", F.col("root").alias("leader")).unionByName(more))
     rooted = nodes.select("node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = rooted.join(classes, "root").select("node", "class_id", "class_size", F.col("copies").alias("exact_copies"))
-    return sketched.select("id", "node").join(known, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "exact_copies")
+    classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
+    known = spread_join(rooted, classes, "root", _limit(nodes.count()))
+    known = jobs.materialize(known.select("node", "class_id", "class_size", F.col("copies").alias("exact_copies")), "known")
+    jobs.discard(spark, words, nodes, first)
+    out = spread_join(sketched.select("id", "node"), known.withColumn("n", F.col("exact_copies")), "node", _limit(sketched.count()))
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "exact_copies")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,8 +10,7 @@ two of them after an edit: below LONG words the k-mers have two words, and texts
 
 1. Equal texts become one node (128-bit hash), so copies cost one row each.
 2. Nodes that share a sketch are compared with the bucket's leader only (a star,
-   so a bucket of n nodes gives n - 1 pairs). Those that the alignment rejects get
-   a new leader among themselves, for ROUNDS rounds.
+   so a bucket of n nodes gives n - 1 pairs).
 3. All pairs of a bucket that are in different components after that are tried as
    well, so no leader hides a link. Folded bags of words (BINS counters a text) bound
    their similarity from above in blocks of a few hundred nodes; only the few pairs which
@@ -19,8 +18,9 @@ two of them after an edit: below LONG words the k-mers have two words, and texts
 4. A pair holds if the word edit distance is at most (1 - SIMILARITY) of the longer
    text. Bag-of-words distance bounds it from below; the rest is decided by a
    bit-parallel alignment inside a diagonal band, which grows up to that width.
-5. Connected components of the verified pairs, by alternating star contractions in
-   Spark, before and after step 3; each round is written to the shared folder.
+5. Connected components of the verified pairs before and after step 3: stars are drawn
+   together into a graph of their centres, and that one's components come by
+   alternating star contractions in Spark; each round is written to the shared folder.
 
 Keys that many rows share (a sketch, a leader, a hub, a class, a text) meet their one
 other side by broadcast or salted, see `spread_join` and `_with_words`.
@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from tidemark.llm import jobs
 from tidemark.llm import textkernel as K
 
-SHINGLE, ORDER, SKETCHES, SIMILARITY, ROUNDS = 5, 2, 48, 0.8, 2
+SHINGLE, ORDER, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
 #: Texts of fewer words have k-mers of two words.
 LONG, SHORT_SHINGLE = 25, 2
 #: Rows of one key are too many beyond LEAST_HEAVY and beyond a share of 1 / HEAVY of all rows.
@@ -236,34 +236,46 @@ def _limit(rows: int) -> int:
     return max(LEAST_HEAVY, rows // HEAVY)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the least node of each connected component, for the nodes of edges (a, b).
-
-    Alternating large-star and small-star contractions. The neighbourhood of a hub is
-    never gathered: its least member is a map-side combined aggregate, which meets the
-    hub's edges by broadcast.
-    """
-    spark = edges.sparkSession
-    edges = jobs.materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-
+def _contracted(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node, root) of the edges' components, by alternating large-star and small-star contractions."""
     seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     for k in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"), F.count("*").alias("n"))
-        large = spread_join(both, least, "a", _limit(2 * seen[0])).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, down, "a", _limit(2 * seen[0]))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = jobs.materialize(new, f"edges-{k}")
         before, seen = seen, new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        jobs.discard(spark, edges)
+        jobs.discard(edges.sparkSession, edges)
         edges = new
         if seen == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError("components did not converge")
 
 
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(node, root): the least node of each connected component, for the nodes of edges (a, b).
+
+    Every node first goes to its least smaller neighbour; the edges between those centres,
+    without repeats, are the graph that is contracted. A hub's neighbours thus are one
+    edge or none, and nothing gathers them: their roots come by `spread_join`.
+    """
+    edges = jobs.materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    nearest = jobs.materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "nearest")
+    centres = jobs.materialize(edges.select("b").distinct(), "centres")
+    between = edges.join(nearest, "a").select("b", "m").unionByName(nearest.join(centres, nearest["a"] == centres["b"], "left_semi").select(F.col("a").alias("b"), "m"))
+    between = jobs.materialize(between.filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).distinct(), "between-centres")
+    roots = _contracted(between, rounds).select(F.col("node").alias("m"), "root")
+    held = nearest.groupBy("m").agg(F.count("*").alias("n")).join(roots, "m", "left").select("m", F.coalesce("root", "m").alias("root"), "n")
+    moved = spread_join(nearest, held, "m", _limit(nearest.count())).select(F.col("a").alias("node"), "root")
+    alone = centres.join(nearest, centres["b"] == nearest["a"], "left_anti").select(F.col("b").alias("m")).join(roots, "m", "left").select(F.col("m").alias("node"), F.coalesce("root", "m").alias("root"))
+    out = jobs.materialize(moved.unionByName(alone), "roots")
+    jobs.discard(edges.sparkSession, edges, nearest, centres)
+    return out
+
+
 def _with_words(pairs: DataFrame, words: DataFrame, column: str, rows: int) -> DataFrame:
     """pairs with the words of one side; a text of very many pairs is copied to several salts."""
     side = words.select(F.col("node").alias(column), F.col("words").alias(f"{column}_words"))
@@ -348,7 +360,7 @@ def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int
     In a bucket the nodes outside its largest component meet each other and that component's
     nodes, in cells of about two blocks; the largest component's nodes don't meet each other.
     """
-    rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = jobs.materialize(buckets.join(roots, "node", "left").select("sketch", "node", F.coalesce("root", "node").alias("root")), "rooted-buckets")
     sizes = rows.groupBy("sketch", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("sketch").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
     small = F.col("all") <= block
@@ -372,46 +384,37 @@ def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int
     return pairs.join(tried, ["node", "leader"], "left_anti")
 
 
-def _led(buckets: DataFrame, name: str) -> DataFrame:
+def _led(buckets: DataFrame) -> DataFrame:
     """(sketch, node, leader) of the buckets with two nodes or more, the leader's own row included, as a table."""
-    leaders = jobs.materialize(buckets.groupBy("sketch").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), f"leaders-{name}")
+    leaders = jobs.materialize(buckets.groupBy("sketch").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
     total = leaders.agg(F.sum("n")).first()[0] or 0
-    led = jobs.materialize(spread_join(buckets, leaders, "sketch", _limit(total)), f"buckets-{name}")
-    jobs.discard(buckets.sparkSession, leaders)
-    return led
+    return jobs.materialize(spread_join(buckets, leaders, "sketch", _limit(total)), "buckets")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class_id (the least id of its class), class_size, exact_copies (rows with the same text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = jobs.materialize(rows.mapInArrow(_sketched, T.StructType([rows.schema[0], *T.StructType.fromDDL("node binary, sketches array<bigint>")])), "sketches")
     nodes = jobs.materialize(sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")), "nodes")
-    first = shared = _led(nodes.select("node", F.explode("sketches").alias("sketch")), "0")
-    wanted = first.select("node").distinct()
+    buckets = _led(nodes.select("node", F.explode("sketches").alias("sketch")))
+    wanted = jobs.materialize(buckets.select("node").distinct(), "wanted")
     picked = nodes.select("node", "least_id").join(wanted, "node", "left_semi").select(F.col("least_id").alias("picked")).distinct()
     texts = rows.join(picked, rows["id"].eqNullSafe(picked["picked"]), "left_semi")
     words = texts.select("text").mapInArrow(_worded, "node binary, words binary, size long, bag binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     words = jobs.materialize(words, "words")
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
-    for k in range(rounds):
-        pairs = shared.filter("node <> leader").select("node", "leader").distinct()
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        good = verified(pairs, words, str(k))
-        found = good if found is None else found.unionByName(good)
-        if k + 1 < rounds:
-            shared = _led(shared.filter("node <> leader").join(good, ["node", "leader"], "left_anti").select("sketch", "node"), str(k + 1))
+    pairs = buckets.filter("node <> leader").select("node", "leader").distinct()
+    found = verified(pairs, words, "led")
     linked = lambda pairs: components(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     roots = linked(found)
-    more = verified(_untried(first.select("sketch", "node"), roots, tried, bags=words.select("node", "size", "bag")), words, "untried")
+    more = verified(_untried(buckets.select("sketch", "node"), roots, pairs, bags=words.select("node", "size", "bag")), words, "untried")
     if not more.isEmpty():
         roots = linked(roots.select("node", F.col("root").alias("leader")).unionByName(more))
     rooted = nodes.select("node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
     known = spread_join(rooted, classes, "root", _limit(nodes.count()))
     known = jobs.materialize(known.select("node", "class_id", "class_size", F.col("copies").alias("exact_copies")), "known")
-    jobs.discard(spark, words, nodes, first)
+    jobs.discard(spark, words, nodes, buckets, wanted)
     out = spread_join(sketched.select("id", "node"), known.withColumn("n", F.col("exact_copies")), "node", _limit(sketched.count()))
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", "exact_copies")
 

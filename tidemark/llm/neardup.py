@@ -12,9 +12,10 @@ two of them after an edit: below LONG words the k-mers have two words, and texts
 2. Nodes that share a sketch are compared with the bucket's leader only (a star,
    so a bucket of n nodes gives n - 1 pairs).
 3. All pairs of a bucket that are in different components after that are tried as
-   well, so no leader hides a link. Folded bags of words (BINS counters a text) bound
-   their similarity from above in blocks of a few hundred nodes; only the few pairs which
-   that bound admits leave the block and are aligned.
+   well, so no leader hides a link. Nodes meet those of their own class of lengths and of
+   the next one only, as other lengths rule a pair out; there, folded bags of words (BINS
+   counters a text) bound the similarity from above in blocks of BLOCK nodes, and only the
+   few pairs which that bound admits leave the block and are aligned.
 4. A pair holds if the word edit distance is at most (1 - SIMILARITY) of the longer
    text. Bag-of-words distance bounds it from below; the rest is decided by a
    bit-parallel alignment inside a diagonal band, which grows up to that width.
@@ -37,6 +38,7 @@ ones take more of its bits. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +57,7 @@ LONG, SHORT_SHINGLE = 25, 2
 #: Rows of one key are too many beyond LEAST_HEAVY and beyond a share of 1 / HEAVY of all rows.
 HEAVY, LEAST_HEAVY = 10_000, 1_000
 #: Nodes of a block and counters of a folded bag of words.
-BLOCK, BINS = 256, 128
+BLOCK, BINS = 4096, 128
 _INDEX_BITS = 22
 #: Width of the first band that an alignment tries; it is widened four times until the pair holds or the whole width was tried.
 FIRST_BAND = 64
@@ -220,15 +222,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["node", "leader"]).filter(pa.array(good, pa.bool_()))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, limit: int) -> DataFrame:
-    """left with the row of right that has its key; right's column n says how many of left's rows have it, and goes.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """left with the row of right that has its keys; right's column n says how many of left's rows have them, and goes.
 
-    left's rows of a key that more than `limit` of them share stay where they are, and the
+    left's rows of keys that more than `limit` of them share stay where they are, and the
     few rows of right for such keys are broadcast; only the other rows are shuffled.
     """
     few = F.broadcast(right.filter(F.col("n") > limit).drop("n"))
-    rest = left.join(few.select(key), key, "left_anti").join(right.filter(F.col("n") <= limit).drop("n"), key)
-    return left.join(few, key).unionByName(rest)
+    rest = left.join(few.select(keys), keys, "left_anti").join(right.filter(F.col("n") <= limit).drop("n"), keys)
+    return left.join(few, keys).unionByName(rest)
 
 
 def _limit(rows: int) -> int:
@@ -269,7 +271,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     between = jobs.materialize(between.filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).distinct(), "between-centres")
     roots = _contracted(between, rounds).select(F.col("node").alias("m"), "root")
     held = nearest.groupBy("m").agg(F.count("*").alias("n")).join(roots, "m", "left").select("m", F.coalesce("root", "m").alias("root"), "n")
-    moved = spread_join(nearest, held, "m", _limit(nearest.count())).select(F.col("a").alias("node"), "root")
+    moved = spread_join(nearest, held, ["m"], _limit(nearest.count())).select(F.col("a").alias("node"), "root")
     alone = centres.join(nearest, centres["b"] == nearest["a"], "left_anti").select(F.col("b").alias("m")).join(roots, "m", "left").select(F.col("m").alias("node"), F.coalesce("root", "m").alias("root"))
     out = jobs.materialize(moved.unionByName(alone), "roots")
     jobs.discard(edges.sparkSession, edges, nearest, centres)
@@ -296,11 +298,14 @@ def verified(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
     return good
 
 
-def _cell_pairs(left: np.ndarray, right: np.ndarray | None, root: np.ndarray, size: np.ndarray, bags: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of different components (left x right, or all of left) that lengths and folded bags admit."""
+def _cell_pairs(left: np.ndarray, right: np.ndarray | None, root: np.ndarray, size: np.ndarray, bags: np.ndarray, own: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different components (left x right, or all of left) that lengths and folded bags admit.
+
+    At least one of the two is `own`, of the cell's class of lengths.
+    """
     full = (bags == 255).all(1)
     other, found = left if right is None else right, []
-    step = max(1, (1 << 16) // max(1, len(other)))
+    step = max(1, (1 << 17) // max(1, len(other)))
     for k in range(0, len(left), step):
         some = left[k : k + step]
         i, j = np.divmod(np.arange(len(some) * len(other)), len(other))
@@ -308,7 +313,7 @@ def _cell_pairs(left: np.ndarray, right: np.ndarray | None, root: np.ndarray, si
         i, j = some[i[keep]], other[j[keep]]
         longest, shortest = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
         least = longest - ((1 - similarity) * longest + 1e-9).astype(np.int64)  # words in common at least
-        keep = (root[i] != root[j]) & (shortest >= least)
+        keep = (root[i] != root[j]) & (shortest >= least) & (own[i] | own[j])
         i, j, least = i[keep], j[keep], least[keep]
         for a in range(0, len(i), 1 << 14):
             x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
@@ -318,21 +323,24 @@ def _cell_pairs(left: np.ndarray, right: np.ndarray | None, root: np.ndarray, si
     return tuple(np.concatenate([none, *side]) for side in zip(*found, strict=True)) if found else (none, none)
 
 
+_CELL = ["sketch", "lengths", "p", "q"]
+
+
 def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell (sketch, p, q) to the pairs that a cell admits; a cell is a few hundred rows."""
+    """Rows sorted by cell to the pairs that a cell admits; a cell is about two blocks."""
     held: list[pa.RecordBatch] = []
 
     def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-        key = np.stack([rows[c].to_numpy() for c in ("sketch", "p", "q")], 1)
+        key = np.stack([rows[c].to_numpy() for c in _CELL], 1)
         cuts = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]), len(key)]
-        node, block, size = rows["node"].combine_chunks(), rows["block"].to_numpy(), rows["size"].to_numpy()
+        node, block, size, own = rows["node"].combine_chunks(), rows["block"].to_numpy(), rows["size"].to_numpy(), rows["own"].to_numpy()
         root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
         bags = np.frombuffer(b"".join(x.as_buffer() for x in rows["bag"]), np.uint8).reshape(-1, BINS)
         left, right = [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             here = np.arange(a, b)
-            mine = block[a:b] == key[a, 1]
-            i, j = _cell_pairs(here[mine], None if key[a, 1] == key[a, 2] else here[~mine], root, size, bags)
+            mine = block[a:b] == key[a, 2]
+            i, j = _cell_pairs(here[mine], None if key[a, 2] == key[a, 3] else here[~mine], root, size, bags, own)
             left.append(i)
             right.append(j)
         i, j = node.take(pa.array(np.concatenate(left))).to_pylist(), node.take(pa.array(np.concatenate(right))).to_pylist()
@@ -344,10 +352,8 @@ def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         held.append(batch)
         rows = pa.Table.from_batches(held)
-        key = [rows[c].to_numpy() for c in ("sketch", "p", "q")]
-        last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
-        whole = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on
-        if whole:
+        last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in (rows[c].to_numpy() for c in _CELL)]))
+        if whole := int(last[-1]) + 1 if len(last) else 0:  # the last cell may go on
             yield pairs_of(rows.slice(0, whole))
             held = rows.slice(whole).to_batches()
     if held:
@@ -357,29 +363,35 @@ def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int = BLOCK, bags: DataFrame | None = None) -> DataFrame:
     """(node, leader): the pairs of a bucket in different components that the bags admit and that weren't compared yet, once each.
 
-    In a bucket the nodes outside its largest component meet each other and that component's
-    nodes, in cells of about two blocks; the largest component's nodes don't meet each other.
+    Lengths that differ by more than the threshold rule a pair out, so a node is in two
+    cells: that of its class of lengths and the next one. In a cell the nodes outside the
+    largest component meet each other and that component's nodes, in cells of about
+    two blocks; the largest component's nodes don't meet each other.
     """
+    one = F.lit(1).cast("long")
+    if bags is None:  # nothing known of the texts: every pair is admitted
+        bags = buckets.select("node").distinct().withColumn("size", F.lit(0).cast("long")).withColumn("bag", F.unhex(F.lit("FF" * BINS)))
     rows = jobs.materialize(buckets.join(roots, "node", "left").select("sketch", "node", F.coalesce("root", "node").alias("root")), "rooted-buckets")
-    sizes = rows.groupBy("sketch", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("sketch").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    small = F.col("all") <= block
-    rest, main = F.ceil((F.col("all") - F.col("most")) / block), F.ceil(F.col("most") / block)
-    mixed = mixed.select("sketch", F.when(~small, F.col("main")).alias("main"), F.when(small, 1).otherwise(rest).cast("long").alias("rest"), F.when(small, 0).otherwise(main).cast("long").alias("mains"), F.col("all").alias("n"))
-    mixed = jobs.materialize(mixed, "mixed-buckets")
-    total = mixed.agg(F.sum("n")).first()[0] or 0
-    rows = spread_join(rows, mixed, "sketch", _limit(total))
+    mixed = rows.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("sketch", "n")
+    rows = spread_join(rows, mixed, ["sketch"], _limit(rows.count())).join(bags, "node")
+    step = math.log(1.01 / SIMILARITY)  # similar texts are at most one class apart
+    rows = rows.withColumn("of", F.floor(F.log(F.greatest("size", one)) / step)).withColumn("lengths", F.explode(F.array("of", F.col("of") + 1)))
+    rows = jobs.materialize(rows.withColumn("own", F.col("of") == F.col("lengths")).drop("of"), "mixed-buckets")
+    sizes = rows.groupBy("sketch", "lengths", "root").agg(F.count("*").alias("n"), F.max("own").alias("own"))
+    cells = sizes.groupBy("sketch", "lengths").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots"), F.max("own").alias("own")).filter("roots > 1 AND own")
+    small = F.col("n") <= block
+    rest, main = F.ceil((F.col("n") - F.col("most")) / block), F.ceil(F.col("most") / block)
+    cells = cells.select("sketch", "lengths", "n", F.when(~small, F.col("main")).alias("main"), F.when(small, 1).otherwise(rest).cast("long").alias("rest"), F.when(small, 0).otherwise(main).cast("long").alias("mains"))
+    total = rows.count()
+    rows = spread_join(rows, cells, ["sketch", "lengths"], _limit(total))
     rows = rows.withColumn("outside", ~F.coalesce(F.col("root") == F.col("main"), F.lit(False)))
     spot = F.xxhash64("node")
-    rows = rows.withColumn("block", F.when(F.col("outside"), F.pmod(spot, F.col("rest"))).otherwise(F.col("rest") + F.pmod(spot, F.greatest("mains", F.lit(1).cast("long")))))
+    rows = rows.withColumn("block", F.when(F.col("outside"), F.pmod(spot, F.col("rest"))).otherwise(F.col("rest") + F.pmod(spot, F.greatest("mains", one))))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("rest") + F.col("mains")).otherwise(F.col("rest")) - 1)))
-    rows = rows.select("node", "sketch", "root", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
+    rows = rows.select("sketch", "lengths", "node", "root", "block", "size", "bag", "own", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
     width = jobs.shuffle_width(buckets.sparkSession, 2 * total, 500_000)
-    if bags is None:  # nothing known of the texts: every pair is admitted
-        bags = buckets.select("node").distinct().withColumn("size", F.lit(0).cast("long")).withColumn("bag", F.unhex(F.lit("FF" * BINS)))
-    cells = rows.join(bags, "node").select("sketch", "p", "q", "node", "root", "block", "size", "bag").repartition(width, "sketch", "p", "q").sortWithinPartitions("sketch", "p", "q")
     kind = buckets.schema["node"].dataType.simpleString()
-    pairs = cells.mapInArrow(_admitted, f"node {kind}, leader {kind}").distinct()
+    pairs = rows.repartition(width, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(_admitted, f"node {kind}, leader {kind}").distinct()
     tried = tried.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
     return pairs.join(tried, ["node", "leader"], "left_anti")
 
@@ -388,7 +400,7 @@ def _led(buckets: DataFrame) -> DataFrame:
     """(sketch, node, leader) of the buckets with two nodes or more, the leader's own row included, as a table."""
     leaders = jobs.materialize(buckets.groupBy("sketch").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
     total = leaders.agg(F.sum("n")).first()[0] or 0
-    return jobs.materialize(spread_join(buckets, leaders, "sketch", _limit(total)), "buckets")
+    return jobs.materialize(spread_join(buckets, leaders, ["sketch"], _limit(total)), "buckets")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,10 +424,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         roots = linked(roots.select("node", F.col("root").alias("leader")).unionByName(more))
     rooted = nodes.select("node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
-    known = spread_join(rooted, classes, "root", _limit(nodes.count()))
+    known = spread_join(rooted, classes, ["root"], _limit(nodes.count()))
     known = jobs.materialize(known.select("node", "class_id", "class_size", F.col("copies").alias("exact_copies")), "known")
     jobs.discard(spark, words, nodes, buckets, wanted)
-    out = spread_join(sketched.select("id", "node"), known.withColumn("n", F.col("exact_copies")), "node", _limit(sketched.count()))
+    out = spread_join(sketched.select("id", "node"), known.withColumn("n", F.col("exact_copies")), ["node"], _limit(sketched.count()))
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", "exact_copies")
 
 

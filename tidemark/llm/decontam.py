@@ -4,8 +4,10 @@ Each task cuts its documents into shards of bounded size. Of a shard's word
 positions only those stay whose first words also begin some test suffix (a bit
 table tells), their suffixes are sorted, and every test suffix is searched in
 that sorted array by bisection. A run of equal suffixes gives all places of a
-match; matches that follow each other along a diagonal make up the longest
-verbatim match. No shuffle: the training texts never move.
+match; their union are the hit words. Where asked for, matches that follow each other
+along a diagonal make up the longest verbatim matches of each item: that lists every
+pair of equal places, which is quadratic in the repeats of a phrase. No shuffle: the
+training texts never move.
 
 The test set is read in blocks of at most BLOCK_WORDS words, so what one task
 carries is bounded. A test set of one block needs one pass over the documents;
@@ -116,7 +118,7 @@ def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(start) - 1]]
 
 
-def _one_row(block: TestBlock, at: np.ndarray, window: np.ndarray, old: dict) -> dict:
+def _one_row(block: TestBlock, at: np.ndarray, window: np.ndarray, old: dict, with_matches: bool) -> dict:
     """A document's hits: at is word places, window is window numbers, both for this document alone."""
     order = np.argsort(at, kind="stable")
     at, window = at[order], window[order]
@@ -124,6 +126,11 @@ def _one_row(block: TestBlock, at: np.ndarray, window: np.ndarray, old: dict) ->
     end = np.r_[at + block.length[window], np.array(old["hit_to"], np.int64)]
     order = np.argsort(start, kind="stable")
     start, end = _merge(start[order], end[order])
+    if not with_matches:
+        windows = np.unique(window)
+        item = np.unique(np.concatenate([block.item[block.first[w] : block.first[w + 1]] for w in windows]))
+        items = sorted({*old["items"], *block.ids[item[block.known[item]]].tolist()})
+        return {"hit_from": start.tolist(), "hit_to": end.tolist(), "items": items, "matches": old["matches"]}
     sizes = block.first[window + 1] - block.first[window]
     pair = np.repeat(block.first[window], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     item, place, word = block.item[pair], block.place[pair], np.repeat(at, sizes)
@@ -141,7 +148,7 @@ def _one_row(block: TestBlock, at: np.ndarray, window: np.ndarray, old: dict) ->
 _NONE = {"hit_from": [], "hit_to": [], "items": [], "matches": []}
 
 
-def _pass(block: TestBlock, schema: pa.Schema):
+def _pass(block: TestBlock, schema: pa.Schema, with_matches: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.pieces(batches, "text"):
             words, bounds = _word_hashes(piece.column(1))
@@ -155,7 +162,7 @@ def _pass(block: TestBlock, schema: pa.Schema):
             for i in range(piece.num_rows):
                 old = {k: piece.column(piece.schema.get_field_index(k))[i].as_py() for k in _NONE} if carried else _NONE
                 a, b = cut[i], cut[i + 1]
-                out.append(_one_row(block, at[a:b] - bounds[i], window[a:b], old) if b > a else old)
+                out.append(_one_row(block, at[a:b] - bounds[i], window[a:b], old, with_matches) if b > a else old)
             n_words = pa.array(np.diff(bounds))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), n_words, *(pa.array([x[k] for x in out], schema.field(k).type) for k in _NONE)], schema=schema)
 
@@ -175,15 +182,15 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterato
     yield texts, ids
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row: the id, the text and HITS (matches: the longest verbatim matches and their word places)."""
+def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, with_matches: bool = True) -> DataFrame:
+    """Per row: the id, the text and HITS (matches: the longest verbatim matches and their word places, or nothing)."""
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([*out.schema.fields[:2], *T.StructType.fromDDL(HITS)])
     arrow = pa.schema([("id", _arrow_type(out.schema[0].dataType)), ("text", pa.string()), ("n_words", pa.int64()), ("hit_from", pa.list_(pa.int32())), ("hit_to", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())])))])
     for k, (texts, ids) in enumerate(_blocks(items, item_col, item_text_col, block_words)):
         if k:
             out = jobs.materialize(out, f"hits-{k}")
-        out = out.mapInArrow(_pass(TestBlock(pa.array(texts, pa.large_string()), ids, window), arrow), schema)
+        out = out.mapInArrow(_pass(TestBlock(pa.array(texts, pa.large_string()), ids, window), arrow, with_matches), schema)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
 
 
@@ -196,5 +203,5 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows without any test window, with all their columns."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    clean = benchmark_hits(packed, items, "row", "text", item_col, item_text_col).filter(F.size("hit_from") == 0)
+    clean = benchmark_hits(packed, items, "row", "text", item_col, item_text_col, with_matches=False).filter(F.size("hit_from") == 0)
     return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     strong = F.filter("spans", lambda s: s["strong"])
     count = lambda kind: F.size(F.filter(strong, lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]], F.sha2(written(strong), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]], F.sha2(written(strong), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size(F.array_distinct(F.filter(F.col("spans")["link"], F.isnotnull))).cast("long").alias("n_credentials"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside windows of 10 benchmark words."""
-    hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), with_matches=False)
     covered = F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return hits.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_from") > 0).alias("contaminated"))

@@ -4,10 +4,16 @@ Strong spans (assignments of 12+ characters, access identifiers, long hex) are
 always reported. Weak parts are collected beside them: identifiers such as
 `client_id=...`, short assigned secrets, mixed-class strings, endpoints. A weak
 part is reported only when a complementary part lies in the same scope (a block
-between blank lines) within REACH code points. A part is no complement of another
-reading of its own value; only a secret inside a URL belongs to that URL. Both sides
-of that join are intervals of one text, so it is made by bisection over sorted places
-inside the row: linear memory, no shuffle, no group to skew.
+between blank lines), however long that is. A part is no complement of another
+reading of its own value; only a secret inside a URL belongs to that URL. A bare hash
+doesn't make a secret of the address beside it, as every page with a checksum has both;
+it does complete an identifier. Both sides of that join are intervals of one text, so
+it is made by bisection over sorted places inside the row: linear memory, no shuffle, no
+group to skew.
+
+`link` numbers the credentials of a text: identifiers, access identifiers and endpoints go to
+the nearest secret of their scope (the earlier one of two as near), and all parts of
+one credential carry that secret's start. A strong span alone in its scope has none.
 
 One narrow map over the whole texts. A null text is empty and has no spans. Each
 row is scanned alone: repeated rows, repeated or null ids change nothing; equal
@@ -30,9 +36,8 @@ from tidemark.llm import textkernel as K
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 #: What makes up a credential together with each kind.
-COMPLEMENTS = {"identifier": ("assign", "hex", "secret"), "secret": ("access", "identifier", "endpoint"), "endpoint": ("assign", "hex", "secret")}
-REACH = 400
-SPAN = "kind string, start long, end long, strong boolean"
+COMPLEMENTS = {"identifier": ("assign", "hex", "secret"), "secret": ("access", "identifier", "endpoint"), "endpoint": ("assign", "secret")}
+SPAN = "kind string, start long, end long, strong boolean, link long"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -91,8 +96,8 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     for s, k, e in free:
         scope = np.searchsorted(cuts, s, "right")
-        low = max(s - REACH, int(cuts[scope - 1]) if scope else 0)
-        high = min(e + REACH, int(cuts[scope]) if scope < len(cuts) else len(text))
+        low = int(cuts[scope - 1]) if scope else 0
+        high = int(cuts[scope]) if scope < len(cuts) else len(text)
         # interval join: some complement ends after low and by s, or starts from e on and before high
         near = any(np.searchsorted(ends[c], low, "right") < np.searchsorted(ends[c], s, "right") or np.searchsorted(starts[c], e) < np.searchsorted(starts[c], high) for c in COMPLEMENTS[KINDS[k]])
         if near or k == 4 and in_url(s, e) or k == 5 and is_url(s, e) and holds_secret(s, e):
@@ -100,11 +105,40 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def _nearest(starts: np.ndarray, scopes: np.ndarray, pool: np.ndarray, pool_scopes: np.ndarray) -> np.ndarray:
+    """For each start, the number of the nearest member of the pool (in order) in its scope, or -1."""
+    after = np.searchsorted(pool, starts)
+    best, gap = np.full(len(starts), -1), np.full(len(starts), np.iinfo(np.int64).max)
+    for at in (after - 1, after):
+        there = np.clip(at, 0, len(pool) - 1)
+        near = np.abs(pool[there] - starts)
+        better = (at == there) & (pool_scopes[there] == scopes) & (near < gap)
+        best, gap = np.where(better, there, best), np.where(better, near, gap)
+    return best
+
+
+def credential_links(text: str, spans: list[tuple[int, int, int]]) -> list[int | None]:
+    """For each span (in order), the start of the secret that its credential is numbered by."""
+    secret = np.array([KINDS[k] in ("assign", "hex", "secret") for _, k, _ in spans], bool)
+    if not secret.any() or secret.all():
+        return [None] * len(spans)
+    start = np.array([s for s, _, _ in spans], np.int64)
+    scope = np.searchsorted(np.array([m.start() for m in _SCOPE.finditer(text)], np.int64), start, "right")
+    link = np.full(len(spans), -1, np.int64)
+    mine, other = np.flatnonzero(secret), np.flatnonzero(~secret)
+    to = _nearest(start[other], scope[other], start[mine], scope[mine])
+    link[other] = np.where(to >= 0, start[mine][to], -1)
+    link[mine[to[to >= 0]]] = start[mine[to[to >= 0]]]
+    left = mine[link[mine] < 0]  # secrets that no part is nearest to belong to their own nearest part's credential
+    to = _nearest(start[left], scope[left], start[other], scope[other])
+    link[left] = np.where(to >= 0, link[other][to], -1)
+    return [int(x) if x >= 0 else None for x in link]
+
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id and `spans`, ordered by start and kind: kind, start, end (code points), strong."""
+    """Per row: the id and `spans`, ordered by start and kind: kind, start, end (code points), strong, link (of one credential)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strong", pa.bool_())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strong", pa.bool_()), ("link", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.pieces(batches, "text"):
@@ -112,7 +146,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in piece.column(1).to_pylist():
                 base = base_spans(text or "")
                 both = sorted(base + (linked_spans(text, base) if text else []))
-                out.append([{"kind": KINDS[k], "start": s, "end": e, "strong": k < 3} for s, k, e in both])
+                out.append([{"kind": KINDS[k], "start": s, "end": e, "strong": k < 3, "link": n} for (s, k, e), n in zip(both, credential_links(text or "", both), strict=True)])
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out, kind)], ["id", "spans"])
 
     found = rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("spans", T.ArrayType(T.StructType.fromDDL(SPAN)))]))

@@ -13,10 +13,11 @@ any pages of the host, give the 64-bit hashes of their runs with up to MIN_PAGES
 pages each, those are united by ranges of hashes, and the runs on MIN_PAGES pages go to
 every salt of their host. What is repeated thus depends on the host's pages alone.
 
-Runs are counted over all visible blocks of every page. What markup names as the
-article itself (article, role=article) is kept whole, as copies of an article on two
-pages are still articles; the repeated runs are removed from the blocks of every other
-page, also from those of main and of content containers. Menus, headers, footers, sidebars, notices,
+Runs are counted over every page, in all visible blocks but those that markup names as
+the article itself (article, role=article). Such an article is kept whole and is no evidence
+against other pages either, as copies of an article, or of a passage of it, are still articles;
+the repeated runs are removed from the blocks of every page without one, also from
+those of main and of content containers. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments go by tag, role, class or id.
 
 Null and empty pages give an empty text. Each row is its own page in every count but
@@ -141,7 +142,8 @@ def _chosen(page: _Page) -> tuple[list[int], bool]:
 
 
 def _stream(page: _Page) -> list[str]:
-    return " ".join(text for text, _ in page.blocks).split(" ")
+    """The tokens of the visible blocks outside a named article."""
+    return [token for text, inside in page.blocks if "a" not in inside for token in text.split(" ")]
 
 
 def _text(page: _Page, gone: np.ndarray) -> str:

@@ -9,7 +9,8 @@ segments of a section are decoded at once as numpy vectors. Sections are rows of
 Parquet table, so Spark's committers see to lost and repeated tasks.
 
 A null text is empty and still has its end id. Null ids come first. Rows with one id
-are written one after the other. Extra columns are not read. An empty table gives
+are written one after the other in the order of their texts' hashes, and of the texts where
+these are equal, so a repeated task writes them alike. Extra columns are not read. An empty table gives
 empty files. A wrong checksum raises ValueError.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import jobs, tokens
@@ -161,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str =
         if coded:
             yield pa.RecordBatch.from_pylist([_section(part, number, before, ids, coded)], _ARROW)
 
-    ordered = rows.repartitionByRange(width, "id").sortWithinPartitions("id")
+    ordered = rows.repartitionByRange(width, "id").sortWithinPartitions("id", F.xxhash64("text"), "text")
     ordered.mapInArrow(run, SECTION).write.parquet(path)
 
 
@@ -192,10 +193,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     """One row per document: id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids."""
     files = spark.read.parquet(path)
     size = F.aggregate("block_tokens", F.lit(0).cast("long"), lambda x, y: x + y)
-    starts, at = {}, 0
-    for part, n in sorted(files.groupBy("part").agg(F.sum(size)).collect()):  # one row for each task that wrote
-        starts[part] = at
-        at += n
+    parts = files.groupBy("part").agg(F.sum(size).alias("n"))  # one row for each task that wrote
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))
+    placed = files.join(F.broadcast(starts), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,9 +204,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 row = batch.slice(i, 1).to_pylist()[0]
                 ids, edges = section_ids(row)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts[row["part"]] + row["before"] + edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["part_start"] + row["before"] + edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.array([ids[a:b].astype(np.int32) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)

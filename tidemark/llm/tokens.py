@@ -2,8 +2,8 @@
 
 A vocabulary file fixes how texts are cut into pre-tokens, and each pre-token is
 encoded on its own; so a pre-token has to be encoded once only. Texts whose characters
-may be classed differently by two Unicode versions, and files whose pre-tokenizer
-isn't known here, go through the library whole.
+may be classed differently by two Unicode versions, texts that hold the string of an
+added token, and files whose pre-tokenizer isn't known here, go through the library whole.
 """
 
 from __future__ import annotations
@@ -33,13 +33,14 @@ def _compiled(template: str) -> re.Pattern:
 
 
 class Encoder:
-    """ids() of texts as in the library, special tokens' strings being ordinary text."""
+    """ids() of texts as the library gives them with add_special_tokens=False."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as file:
@@ -70,7 +71,7 @@ class Encoder:
         whole = []
         for i, text in enumerate(texts):
             if text:
-                if self.pattern and not _ODD.search(text):
+                if self.pattern and not _ODD.search(text) and not (self.added and self.added.search(text)):
                     parts.append((i, self.pattern.findall(text.lower() if self.lower else text)))
                 else:
                     whole.append(i)

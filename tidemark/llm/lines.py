@@ -130,6 +130,17 @@ def _applied(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[list[bytes
         yield lines, np.array([not (gone and len(x) >= min_chars and _long_enough(k := line_key(x), min_chars) and _hash(k) in gone) for x in lines])
 
 
+def bitmap(keep: np.ndarray) -> bytes:
+    """A compressed keep bitmap: one bit a line, the first line first."""
+    return zlib.compress(np.packbits(keep).tobytes(), 1)
+
+
+def kept_text(lines: list[bytes], keep_bitmap: bytes) -> bytes:
+    """What a keep bitmap leaves of a text."""
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep_bitmap), np.uint8), count=len(lines))
+    return b"\n".join(x for x, k in zip(lines, bits, strict=True) if k)
+
+
 def _with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
     return docs.join(lost.withColumnRenamed("id", "lost_id"), docs["id"].eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
 
@@ -140,7 +151,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.pieces(batches, "text"):
-            out = [(len(lines), int((~keep).sum()), zlib.compress(np.packbits(keep).tobytes(), 1), hashlib.sha256(b"\n".join(x for x, k in zip(lines, keep, strict=True) if k)).hexdigest()) for lines, keep in _applied(piece, min_chars)]
+            made = [(lines, keep, bitmap(keep)) for lines, keep in _applied(piece, min_chars)]
+            out = [(len(lines), int((~keep).sum()), bits, hashlib.sha256(kept_text(lines, bits)).hexdigest()) for lines, keep, bits in made]
             n, d, bits, sha = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(bits, pa.binary()), pa.array(sha, pa.string())], ["id", "n_lines", "n_dropped", "keep_bitmap", "kept_sha256"])
 
@@ -155,7 +167,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in K.pieces(batches, "text"):
-            texts = [b"\n".join(x for x, k in zip(lines, keep, strict=True) if k).decode("utf-8", "replace") for lines, keep in _applied(piece, min_chars)]
+            texts = [kept_text(lines, bitmap(keep)).decode("utf-8", "replace") for lines, keep in _applied(piece, min_chars)]
             at = piece.schema.get_field_index("text")
             kept = pa.array(texts, pa.string(), mask=piece.column(at).is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([piece.column(0), kept], ["row", "text"])

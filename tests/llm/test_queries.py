@@ -23,6 +23,74 @@ def test_one_result_for_each_document(spark, name):
     assert found.select("doc_id").distinct().count() == docs.count()
 
 
+def test_base_columns_of_secrets(spark):
+    """n_*, base_sha256 and the base part of spans against the patterns as they are stated."""
+    import hashlib
+    import re
+
+    assign = re.compile("""(?P<n>[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\\x20*[:=]\\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)""")
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.queries()["op1_secret_scan"](spark, SF).collect():
+        text = docs[r.doc_id]
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m["v"]) >= 12]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        written = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in found) for n in range(3)]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")] == written
+
+
+def test_page_texts(spark):
+    """The registered query against a plain count of the runs of every host."""
+    import re
+
+    from tidemark.llm import html
+
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
+    hosts = {}
+    for r in rows:
+        hosts.setdefault(re.sub(r"^\w+://([^/]*).*", r"\1", r.url).lower(), {}).setdefault(r.html, html._Page(r.html))
+    want = {}
+    for r in rows:
+        pages = hosts[re.sub(r"^\w+://([^/]*).*", r"\1", r.url).lower()]
+        blocks = pages[r.html].blocks
+        if any("a" in inside for _, inside in blocks):
+            want[r.page_id] = "\n".join(text for text, inside in blocks if "a" in inside)
+            continue
+        said = " ".join(text for text, _ in blocks).split()
+        runs = [{tuple(w[i : i + html.RUN]) for i in range(len(w) - html.RUN + 1)} for w in (" ".join(t for t, inside in p.blocks if "a" not in inside).split() for p in pages.values())]
+        gone = {i + d for i in range(len(said) - html.RUN + 1) if sum(tuple(said[i : i + html.RUN]) in x for x in runs) >= html.MIN_PAGES for d in range(html.RUN)}
+        at, kept = 0, []
+        chosen = next((m for m in "mc" if any(m in inside for _, inside in blocks)), "")
+        for text, inside in blocks:
+            words = text.split()
+            if chosen in inside and (left := [w for i, w in enumerate(words, at) if i not in gone]):
+                kept.append(" ".join(left))
+            at += len(words)
+        want[r.page_id] = "\n".join(kept)
+    found = queries.queries()["op7_html_text"](spark, SF).collect()
+    assert {r.page_id: r.text for r in found} == want and all(r.n_chars == len(r.text) for r in found)
+
+
+def test_recall_of_near_duplicates(spark):
+    """Links between different texts of the whole table, by brute force: at least 0.95 of them lie in one class."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import neardup
+    from tidemark.llm import textkernel as K
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    data, offsets = K.text_bytes(pa.array([r.text for r in docs], pa.string()))
+    starts, ends, bounds = K.word_spans(data, offsets, K.NOT_WHITE)
+    words = (K.span_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32)
+    said = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    known = {r.doc_id: r.class_id for r in queries.queries()["op5_near_duplicates"](spark, SF).collect()}
+    linked = [(i, j) for i in range(len(docs)) for j in range(i) if min(len(said[i]), len(said[j])) >= 5 and neardup.similar(said[i], said[j])]
+    assert linked and sum(known[docs[i].doc_id] == known[docs[j].doc_id] for i, j in linked) >= 0.95 * len(linked)
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     found = queries.queries()["op6_language_id"](spark, SF).join(docs, "doc_id").filter("held_out")

@@ -66,6 +66,13 @@ def test_quality(docs, empty):
                     later |= set(range(j, j + n))
                 seen.add(key)
             assert share == pytest.approx(sum(len(words[j]) for j in later) / max(1, sum(map(len, words))))
+        lines = Counter(said)
+        chars, again = sum(map(len, said)), sum((n - 1) * len(x) for x, n in lines.items())
+        total = max(1, r.word_chars)
+        bad = any(x > most and x * total >= quality.LEAST_CHARS - 1e-6 for x, most in zip(r.dup_ngram_shares, quality.NGRAM_SHARES.values(), strict=True))
+        bad |= r.n_dup_lines > quality.LINE_SHARE * len(said) and r.n_dup_lines >= quality.LEAST_LINES
+        bad |= again > quality.LINE_CHAR_SHARE * chars and again >= quality.LEAST_CHARS
+        assert r.kept == (not bad and not r.base_failed)
     repeated = next(i for i, t in enumerate(TEXTS) if t and t.startswith("the very same"))
     assert not found[repeated].kept and found[4].kept and found[18].kept
     assert quality.repetition_quality(empty).count() == 0
@@ -150,6 +157,8 @@ def test_decontamination(spark, docs, empty):
             r = found[i]
             assert (r.n_words, {x for a, b in zip(r.hit_from, r.hit_to, strict=True) for x in range(a, b)}, set(r["items"])) == (len(w), hit, of - {None})
     assert max(m.n_words for m in found[7].matches if m.item_id == 1) >= 60
+    plain = by_id(decontam.benchmark_hits(docs, items, with_matches=False))
+    assert all((plain[i].hit_from, plain[i].hit_to, plain[i]["items"], plain[i].matches) == (r.hit_from, r.hit_to, r["items"], []) for i, r in found.items())
     clean = decontam.drop_contaminated(docs, items)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, r in found.items() if not r.hit_from}
     assert decontam.benchmark_hits(empty, items).count() == 0
@@ -158,7 +167,7 @@ def test_decontamination(spark, docs, empty):
 
 SECRETS = [
     ('password: "abcdefghijkl"', ["assign"]), ("PASSWORD=short", []), ("token=secret=abcdefghijklmnop", ["assign"]), ("AKIAABCDEFGHIJKLMN", ["access"]), ("AKIASHORT", []), ("deadbeefdeadbeef", ["hex"]), ("client_id=abc12345\nhost: db.example.com\npwd=hunter22", ["endpoint", "identifier", "secret"]),
-    ("client_id=abc12345\n\npwd=hunter22", []), ("https://example.com/x", []), ("pwd=hunter22 " + "x" * 900 + " user=abcdef", []), (None, []), ("paſsword=abcdefghijklmn", []), ("é" * 5 + "api_key = abcdefghijklmnopqrst", ["assign"]),
+    ("client_id=abc12345\n\npwd=hunter22", []), ("https://example.com/x", []), ("pwd=hunter22 " + "x" * 900 + " user=abcdef", ["identifier", "secret"]), ("pwd=hunter22 " + "x" * 900 + "\n \nuser=abcdef", []), (None, []), ("paſsword=abcdefghijklmn", []), ("é" * 5 + "api_key = abcdefghijklmnopqrst", ["assign"]),
 ]
 
 
@@ -167,7 +176,7 @@ def test_secrets(spark):
     found = by_id(secrets.find_secrets(df))
     for i, (text, kinds) in enumerate(SECRETS):
         assert sorted(s.kind for s in found[i].spans) == sorted(kinds), text
-    assert (found[12].spans[0].start, found[12].spans[0].end) == (5, len(SECRETS[12][0]))
+    assert (found[13].spans[0].start, found[13].spans[0].end) == (5, len(SECRETS[13][0]))
     assert secrets.find_secrets(df.filter("false")).count() == 0
 
 
@@ -183,6 +192,25 @@ def test_parts_of_one_credential(text, kinds):
     assert {secrets.KINDS[k] for _, k, _ in base + secrets.linked_spans(text, base)} == kinds
 
 
+def test_links_of_credentials():
+    """Each part goes to the nearest secret of its scope; scopes don't mix."""
+    text = "client_id=abc12345\nprivate_key=hunter22\nhost: db.example.com\n\nuser: second1\npwd=hunter33\n\ndeadbeefdeadbeef"
+    base = secrets.base_spans(text)
+    spans = sorted(base + secrets.linked_spans(text, base))
+    of = {text[s:e]: n for (s, _, e), n in zip(spans, secrets.credential_links(text, spans), strict=True)}
+    one, two = text.index("private_key"), text.index("pwd")
+    assert of == {"client_id=abc12345": one, "private_key=hunter22": one, "host: db.example.com": one, "user: second1": two, "pwd=hunter33": two, "deadbeefdeadbeef": None}
+    hashed = "see https://example.com/file deadbeefdeadbeefdeadbeef"  # a checksum makes no secret of an address
+    assert secrets.linked_spans(hashed, secrets.base_spans(hashed)) == []
+
+
+def test_secrets_of_long_repeated_and_clashing_rows(spark):
+    long = "client_id=abc12345 " + "word " * 400_000 + "pwd=hunter22"
+    df = spark.createDataFrame([(None, long, 1, "x"), (3, long, 1, "x"), (3, long, 1, "x"), (4, "x", 1, "x")], "doc_id long, text string, id int, spans string")
+    found = secrets.find_secrets(df).collect()
+    assert sorted((str(r.doc_id), [(s.kind, s.start, s.link) for s in r.spans]) for r in found) == [("3", w := [("identifier", 0, len(long) - 12), ("secret", len(long) - 12, len(long) - 12)]), ("3", w), ("4", []), ("None", w)]
+
+
 def edit_distance(a, b):
     row = [*range(len(b) + 1)]
     for i, x in enumerate(a, 1):
@@ -311,14 +339,20 @@ def test_components(spark):
 def test_encoder_equals_the_library(name):
     encoder = tokens.Encoder(vocabulary(name))
     texts = [t or "" for t in TEXTS] + ["  \n\n x", "it's 'sea' ''s .'s don't WE'LL I'd've", "x y", "漢字 4", "<|endoftext|> hi", "1234 5,6.7", "İ ŉ ß²³¼ª", " 's 't  ", "a\x1cb\x85z", "é"]
-    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.ids(texts)] == [e.ids for e in whole]
+    texts += ["a <|ENDOFTEXT|> b<|startoftext|>", "<|endoftext|>"]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.ids(texts)] == library(name, texts)
     assert encoder.ids(texts) == encoder.ids(texts)
 
 
-def library_ids(name, end):
-    encoder = tokens.Encoder(vocabulary(name))
-    return {i: np.array(e.ids + [end], "<u4") for i, e in enumerate(encoder.tokenizer.encode_batch([t or "" for t in TEXTS], add_special_tokens=False))}
+def library(name, texts):
+    """The ids of a tokenizer that nothing here has touched."""
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(vocabulary(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def library_ids(name, end, texts=TEXTS):
+    return {i: np.array(ids + [end], "<u4") for i, ids in enumerate(library(name, texts))}
 
 
 def test_packing(docs, empty):
@@ -345,6 +379,33 @@ def test_packing_levels_costs_and_fills():
     assert sum(n for _, _, n, _, _ in found) == sizes.sum()
 
 
+def test_packing_takes_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(9)
+    rests = rng.integers(1, 100, 60)
+    cost, room = [0.0] * 40, [128] * 40
+    for doc, at, n, k in packing.assign(rests, 40, 128):
+        left = int(rests[doc]) - at
+        fits = [i for i in range(40) if room[i] >= left]
+        assert k == (min(fits, key=lambda i: (cost[i], i)) if fits else max(range(40), key=lambda i: (room[i], -i))) and n == min(left, room[k])
+        cost[k] += packing.LINEAR * n + packing.QUADRATIC * n * n
+        room[k] -= n
+    by_size = [d for d, at, _, _ in packing.assign(rests, 40, 128) if at == 0]
+    assert [rests[d] for d in by_size] == sorted(rests, reverse=True)
+    assert max(cost) - min(cost) < 2 * 100  # level
+
+
+def test_packing_of_repeated_and_null_ids(spark):
+    long = prose(77, 30_000)
+    df = spark.createDataFrame([(None, long, 1), (5, long, 1), (5, long, 1), (6, None, 1)], "doc_id long, text string, start int")
+    found = packing.pack_sequences(df, vocabulary("word_bpe_49k.json")).collect()
+    size = len(library("word_bpe_49k.json", [long])[0]) + 1
+    total = Counter()
+    for r in found:
+        total[r.doc_id] += r.length
+        assert r.doc_tokens == (1 if r.doc_id == 6 else size)
+    assert total == {None: size, 5: 2 * size, 6: 1}
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     ids, path = library_ids("byte_bpe_50k.json", 0), str(tmp_path / "files")
     tokenfiles.write_token_files(docs, path, vocabulary("byte_bpe_50k.json"))
@@ -357,6 +418,14 @@ def test_token_files(spark, docs, empty, tmp_path):
     row["payload"] = bytes([row["payload"][0] ^ 1]) + bytes(row["payload"][1:])
     with pytest.raises(ValueError, match="damaged"):
         tokenfiles.section_ids(row)
+    rows = [(3, "b c"), (None, "z"), (3, "a"), (3, None), (None, "z"), (1, "<|endoftext|> x")]
+    for k in (1, 4):  # rows with one id have an order of their own, however they were read
+        df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int").repartition(k)
+        tokenfiles.write_token_files(df, f"{path}-{k}", vocabulary("byte_bpe_50k.json"))
+    one, four = (sorted((r.start, str(r.doc_id), r.n_tokens, r.ids_crc32) for r in tokenfiles.read_token_files(spark, f"{path}-{k}").collect()) for k in (1, 4))
+    assert one == four and [r[1] for r in one] == ["None", "None", "1", "3", "3", "3"]
+    crc = [zlib.crc32(x.tobytes()) for x in library_ids("byte_bpe_50k.json", 0, [t for _, t in rows]).values()]
+    assert sorted(r[3] for r in one) == sorted(crc)
     tokenfiles.write_token_files(empty, path + "-none", vocabulary("byte_bpe_50k.json"))
     assert tokenfiles.read_token_files(spark, path + "-none").count() == 0
 
@@ -391,6 +460,47 @@ def test_language_id(spark):
     assert langid.identify(df.filter("false"), model).count() == 0
 
 
+def test_language_scores_are_the_plain_ones(spark):
+    """The query's scores against a scorer in plain Python over the same model."""
+    rng = random.Random(3)
+    made = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    rows = [(i, made(30), "pq"[i % 2]) for i in range(30)] + [(40, "Abc, zzé 12x qqq", None), (41, "", None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
+    model = langid.fit(df)
+    words = {}
+    for _, text, lang in rows[:30]:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words.setdefault(lang, Counter())[w] += 1
+    levels = {0: words}
+    for n in langid.GRAMS:
+        levels[n] = {lang: Counter() for lang in words}
+        for lang, found in words.items():
+            for w, k in found.items():
+                marked = f"^{w}$" if n > 1 else w
+                for i in range(len(marked) - n + 1):
+                    levels[n][lang][marked[i : i + n]] += k
+    log = lambda level, x, lang: np.log((levels[level][lang][x] + langid.SMOOTHING) / (sum(levels[level][lang].values()) + langid.SMOOTHING * (len(set().union(*levels[level].values())) + 1)))
+
+    def score(word, lang):
+        if any(word in x for x in words.values()):
+            return log(0, word, lang)
+        for n in langid.GRAMS:
+            marked = f"^{word}$" if n > 1 else word
+            known = [g for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if any(g in x for x in levels[n].values())]
+            if known:
+                return sum(log(n, g, lang) for g in known) / len(known)
+        return 0.0
+
+    found = by_id(langid.identify(df, model))
+    for i, text, _ in rows:
+        said = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not said:
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        p, q = (sum(score(w, lang) for w in said) for lang in "pq")
+        assert found[i].lang_pred == ("p" if p >= q else "q") and found[i].score == pytest.approx(1 / (1 + np.exp(-abs(p - q))))
+
+
 ARTICLE = "<html><head><title>t</title><style>p{}</style><script>var t='<p>no</p>';</script></head><body class='has-sidebar'><header>Top</header><nav><a>menu</a></nav><div class=\"ad\">buy</div><article><h1>Head &amp; line</h1><p>First  para<b>graph</b>\n<br>goes on<p>Second<div class='share'>tell</div><ul><li>one<li>two</ul><section id='comments'><p>me too</p></section></article><aside>side</aside><footer>&copy; x</footer></body></html>"
 
 
@@ -428,6 +538,16 @@ def test_runs_are_counted_over_the_host(spark):
     assert {r.page_id: r.text for r in html.main_texts(df.repartition(5), shard_bytes=2000).collect()} == want
 
 
+def test_articles_are_no_evidence(spark):
+    """A passage of three named articles stays on a page without one, a notice outside articles goes."""
+    said, notice = prose(600, 12), prose(601, 12)
+    rows = [(i, f"https://a.org/{i}", f"<div>{notice}</div><article><p>{said}</p><p>{prose(610 + i, 9)}</p></article>") for i in range(3)]
+    rows += [(7, "https://a.org/7", f"<div>{notice}</div><p>{said}</p>"), (7, "https://a.org/7", f"<div>{notice}</div><p>{said}</p>"), (None, "https://a.org/8", "")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, n_chars int, salt string")
+    found = html.main_texts(df.repartition(2)).collect()
+    assert sorted((str(r.page_id), r.text) for r in found) == sorted([(str(i), f"{said}\n{prose(610 + i, 9)}") for i in range(3)] + [("7", said)] * 2 + [("None", "")])
+
+
 def test_repeated_tokens_is_the_naive_count():
     rng = random.Random(6)
     streams = [[rng.choice("abc") for _ in range(rng.randrange(0, 30))] for _ in range(6)]

@@ -4,8 +4,8 @@ Documents are cut into groups by ranges of their id, so that the order of two
 groups is the order of their documents. Then
 
 1. each group sends every distinct window hash once to the hash's bucket, as
-   packed arrays (8 bytes a window; the bucket number comes from a second hash,
-   so windows are told apart by 64 + log2(buckets) bits);
+   packed arrays (8 bytes a window; windows are told apart by 64 bits, and the
+   bucket number comes from a second hash);
 2. each bucket finds the hashes that an earlier group holds as well and
    returns them to the later groups;
 3. each group meets its own answers: a window goes if an earlier group or an

@@ -14,8 +14,10 @@ two of them after an edit: below LONG words the k-mers have two words, and texts
 3. All pairs of a bucket that are in different components after that are tried as
    well, so no leader hides a link. Nodes meet those of their own class of lengths and of
    the next one only, as other lengths rule a pair out; there, folded bags of words (BINS
-   counters a text) bound the similarity from above in blocks of BLOCK nodes, and only the
-   few pairs which that bound admits leave the block and are aligned.
+   counters a text) bound the similarity from above in blocks of BLOCK nodes, and the
+   pairs which that bound admits are aligned there, each in one of the buckets that its
+   nodes share. Only links between components leave a block. In a bucket of many
+   unrelated clusters the bounds are quadratic in their number, the rows are not.
 4. A pair holds if the word edit distance is at most (1 - SIMILARITY) of the longer
    text. Bag-of-words distance bounds it from below; the rest is decided by a
    bit-parallel alignment inside a diagonal band, which grows up to that width.
@@ -56,8 +58,8 @@ SHINGLE, ORDER, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
 LONG, SHORT_SHINGLE = 25, 2
 #: Rows of one key are too many beyond LEAST_HEAVY and beyond a share of 1 / HEAVY of all rows.
 HEAVY, LEAST_HEAVY = 10_000, 1_000
-#: Nodes of a block and counters of a folded bag of words.
-BLOCK, BINS = 4096, 128
+#: Nodes and text of a block, and counters of a folded bag of words.
+BLOCK, BLOCK_BYTES, BINS = 4096, 16 << 20, 128
 _INDEX_BITS = 22
 #: Width of the first band that an alignment tries; it is widened four times until the pair holds or the whole width was tried.
 FIRST_BAND = 64
@@ -141,9 +143,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def folded_bag(words: np.ndarray) -> np.ndarray:
-    """Words counted in BINS counters; one that overflows makes all of them full, which bounds nothing."""
-    counts = np.bincount(words % BINS, minlength=BINS)
-    return np.full(BINS, 255, np.uint8) if (counts > 254).any() else counts.astype(np.uint8)
+    """Words counted in BINS counters, which stop at 255; the size of the text tells what is above."""
+    return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8)
 
 
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,12 +289,13 @@ def _with_words(pairs: DataFrame, words: DataFrame, column: str, rows: int) -> D
     return salted.join(copied, [column, "salt"]).drop("salt")
 
 
-def verified(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (node, leader) whose words are similar, as a table."""
-    pairs = jobs.materialize(pairs.select("node", "leader"), f"candidates-{name}")
+    words = words.select("node", "words")
+    pairs = jobs.materialize(pairs.select("node", "leader"), "candidates")
     rows = pairs.count()
     both = _with_words(_with_words(pairs, words, "node", rows), words, "leader", rows)
-    good = jobs.materialize(both.mapInArrow(_verified, "node binary, leader binary"), f"pairs-{name}")
+    good = jobs.materialize(both.mapInArrow(_verified, "node binary, leader binary"), "pairs")
     jobs.discard(pairs.sparkSession, pairs)
     return good
 
@@ -303,7 +305,7 @@ def _cell_pairs(left: np.ndarray, right: np.ndarray | None, root: np.ndarray, si
 
     At least one of the two is `own`, of the cell's class of lengths.
     """
-    full = (bags == 255).all(1)
+    above = np.maximum(size - bags.sum(1, dtype=np.int64), 0)  # words beyond full counters
     other, found = left if right is None else right, []
     step = max(1, (1 << 17) // max(1, len(other)))
     for k in range(0, len(left), step):
@@ -317,17 +319,49 @@ def _cell_pairs(left: np.ndarray, right: np.ndarray | None, root: np.ndarray, si
         i, j, least = i[keep], j[keep], least[keep]
         for a in range(0, len(i), 1 << 14):
             x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
-            keep = (np.minimum(bags[x], bags[y]).sum(1, dtype=np.int64) >= least[a : a + (1 << 14)]) | full[x] & full[y]
+            keep = np.minimum(bags[x], bags[y]).sum(1, dtype=np.int64) + np.minimum(above[x], above[y]) >= least[a : a + (1 << 14)]
             found.append((x[keep], y[keep]))
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate([none, *side]) for side in zip(*found, strict=True)) if found else (none, none)
 
 
+def _chosen_here(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, lists: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether this bucket is the one, of all that a pair shares, in which it is aligned (drawn by the pair's hash)."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), 1 << 14):
+        x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+        shared = (lists[x] == lists[y]) & (lists[x] != 0)
+        drawn = (K.mix(names[x] ^ names[y]) % np.maximum(shared.sum(1), 1).astype(np.uint64)).astype(np.int64)
+        at = (shared & (np.cumsum(shared, 1) == drawn[:, None] + 1)).argmax(1)
+        out[a : a + (1 << 14)] = lists[x, at] == sketch[x]
+    return out
+
+
+def _links(i: np.ndarray, j: np.ndarray, root: np.ndarray, words: list[np.ndarray]) -> list[bool]:
+    """Which pairs hold, but for those whose components earlier ones have joined."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(int(root[x])), top(int(root[y]))
+        held = a != b and similar(words[x], words[y])
+        if held:
+            parent[a] = b
+        out.append(held)
+    return out
+
+
 _CELL = ["sketch", "lengths", "p", "q"]
+_TWO = 2 * SKETCHES
 
 
-def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell to the pairs that a cell admits; a cell is about two blocks."""
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell to the pairs that hold (all pairs, where there are no texts); a cell is about two blocks."""
     held: list[pa.RecordBatch] = []
 
     def pairs_of(rows: pa.Table) -> pa.RecordBatch:
@@ -343,8 +377,19 @@ def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = _cell_pairs(here[mine], None if key[a, 2] == key[a, 3] else here[~mine], root, size, bags, own)
             left.append(i)
             right.append(j)
-        i, j = node.take(pa.array(np.concatenate(left))).to_pylist(), node.take(pa.array(np.concatenate(right))).to_pylist()
-        both = [(max(x, y), min(x, y)) for x, y in zip(i, j, strict=True)]
+        i, j = np.concatenate(left), np.concatenate(right)
+        if "words" in rows.column_names:
+            lists = np.zeros((len(key), _TWO), np.int64)  # sketches of long texts, then those of short ones
+            for at, x in enumerate(rows["sketches"]):
+                found = x.values.to_numpy()
+                lists[at, 0 if size[at] >= int(SIMILARITY * LONG) else SKETCHES :][: len(found)] = found
+            names = np.array([int.from_bytes(x.as_py()[:8], "little") for x in node], np.uint64)
+            good = _chosen_here(i, j, key[:, 0], lists, names)
+            i, j = i[good], j[good]
+            good = np.array(_links(i, j, root, [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["words"]]), bool)
+            i, j = i[good], j[good]
+        x, y = (node.take(pa.array(side)).to_pylist() for side in (i, j))
+        both = [(max(p), min(p)) for p in zip(x, y, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], node.type), pa.array([y for _, y in both], node.type)], ["node", "leader"])
 
     for batch in batches:
@@ -360,27 +405,30 @@ def _admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs_of(pa.Table.from_batches(held))
 
 
-def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int = BLOCK, bags: DataFrame | None = None) -> DataFrame:
-    """(node, leader): the pairs of a bucket in different components that the bags admit and that weren't compared yet, once each.
+def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int = BLOCK, texts: DataFrame | None = None) -> DataFrame:
+    """(node, leader): links between components in one bucket; without texts, the pairs to align that weren't compared yet.
 
-    Lengths that differ by more than the threshold rule a pair out, so a node is in two
-    cells: that of its class of lengths and the next one. In a cell the nodes outside the
-    largest component meet each other and that component's nodes, in cells of about
-    two blocks; the largest component's nodes don't meet each other.
+    texts has (node, words, size, bag, sketches). Lengths that differ by more than the
+    threshold rule a pair out, so a node is in two cells: that of its class of lengths and the
+    next one. In a cell the nodes outside the largest component meet each other and that
+    component's nodes, in cells of about two blocks; the largest component's nodes don't
+    meet each other.
     """
     one = F.lit(1).cast("long")
-    if bags is None:  # nothing known of the texts: every pair is admitted
-        bags = buckets.select("node").distinct().withColumn("size", F.lit(0).cast("long")).withColumn("bag", F.unhex(F.lit("FF" * BINS)))
+    plain = texts is None
+    if plain:
+        texts = buckets.select("node").distinct().withColumn("size", F.lit(0).cast("long")).withColumn("bag", F.unhex(F.lit("FF" * BINS)))
     rows = jobs.materialize(buckets.join(roots, "node", "left").select("sketch", "node", F.coalesce("root", "node").alias("root")), "rooted-buckets")
     mixed = rows.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("sketch", "n")
-    rows = spread_join(rows, mixed, ["sketch"], _limit(rows.count())).join(bags, "node")
+    rows = spread_join(rows, mixed, ["sketch"], _limit(rows.count())).join(texts.select("node", "size"), "node")
     step = math.log(1.01 / SIMILARITY)  # similar texts are at most one class apart
     rows = rows.withColumn("of", F.floor(F.log(F.greatest("size", one)) / step)).withColumn("lengths", F.explode(F.array("of", F.col("of") + 1)))
     rows = jobs.materialize(rows.withColumn("own", F.col("of") == F.col("lengths")).drop("of"), "mixed-buckets")
-    sizes = rows.groupBy("sketch", "lengths", "root").agg(F.count("*").alias("n"), F.max("own").alias("own"))
-    cells = sizes.groupBy("sketch", "lengths").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots"), F.max("own").alias("own")).filter("roots > 1 AND own")
-    small = F.col("n") <= block
-    rest, main = F.ceil((F.col("n") - F.col("most")) / block), F.ceil(F.col("most") / block)
+    sizes = rows.groupBy("sketch", "lengths", "root").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.sum("size").alias("words"))
+    cells = sizes.groupBy("sketch", "lengths").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots"), F.max("own").alias("own"), F.sum("words").alias("words")).filter("roots > 1 AND own")
+    nodes = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(BLOCK_BYTES / 4 * F.col("n") / F.greatest("words", one))))
+    small = F.col("n") <= nodes
+    rest, main = F.ceil((F.col("n") - F.col("most")) / nodes), F.ceil(F.col("most") / nodes)
     cells = cells.select("sketch", "lengths", "n", F.when(~small, F.col("main")).alias("main"), F.when(small, 1).otherwise(rest).cast("long").alias("rest"), F.when(small, 0).otherwise(main).cast("long").alias("mains"))
     total = rows.count()
     rows = spread_join(rows, cells, ["sketch", "lengths"], _limit(total))
@@ -388,12 +436,14 @@ def _untried(buckets: DataFrame, roots: DataFrame, tried: DataFrame, block: int
     spot = F.xxhash64("node")
     rows = rows.withColumn("block", F.when(F.col("outside"), F.pmod(spot, F.col("rest"))).otherwise(F.col("rest") + F.pmod(spot, F.greatest("mains", one))))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("rest") + F.col("mains")).otherwise(F.col("rest")) - 1)))
-    rows = rows.select("sketch", "lengths", "node", "root", "block", "size", "bag", "own", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
-    width = jobs.shuffle_width(buckets.sparkSession, 2 * total, 500_000)
+    rows = rows.select("sketch", "lengths", "node", "root", "block", "own", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q")).join(texts, "node")
+    width = jobs.shuffle_width(buckets.sparkSession, 2 * total, 100_000)
     kind = buckets.schema["node"].dataType.simpleString()
-    pairs = rows.repartition(width, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(_admitted, f"node {kind}, leader {kind}").distinct()
+    pairs = rows.repartition(width, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(_aligned, f"node {kind}, leader {kind}")
+    if not plain:
+        return pairs
     tried = tried.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
-    return pairs.join(tried, ["node", "leader"], "left_anti")
+    return pairs.distinct().join(tried, ["node", "leader"], "left_anti")
 
 
 def _led(buckets: DataFrame) -> DataFrame:
@@ -416,10 +466,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     words = texts.select("text").mapInArrow(_worded, "node binary, words binary, size long, bag binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     words = jobs.materialize(words, "words")
     pairs = buckets.filter("node <> leader").select("node", "leader").distinct()
-    found = verified(pairs, words, "led")
+    found = verified(pairs, words)
     linked = lambda pairs: components(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     roots = linked(found)
-    more = verified(_untried(buckets.select("sketch", "node"), roots, pairs, bags=words.select("node", "size", "bag")), words, "untried")
+    texts = words.join(nodes.select("node", "sketches"), "node")
+    more = jobs.materialize(_untried(buckets.select("sketch", "node"), roots, pairs, texts=texts), "links-in-buckets")
     if not more.isEmpty():
         roots = linked(roots.select("node", F.col("root").alias("leader")).unionByName(more))
     rooted = nodes.select("node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -59,7 +59,7 @@ LONG, SHORT_SHINGLE = 25, 2
 #: Rows of one key are too many beyond LEAST_HEAVY and beyond a share of 1 / HEAVY of all rows.
 HEAVY, LEAST_HEAVY = 10_000, 1_000
 #: Nodes and text of a block, and counters of a folded bag of words.
-BLOCK, BLOCK_BYTES, BINS = 4096, 16 << 20, 128
+BLOCK, BLOCK_BYTES, BINS = 4096, 16 << 20, 512
 _INDEX_BITS = 22
 #: Width of the first band that an alignment tries; it is widened four times until the pair holds or the whole width was tried.
 FIRST_BAND = 64

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
@@ -139,18 +142,23 @@ def keeper_reason(spark, sf_dir):
     return dedupe.duplicate_groups(rows.select("path", "kind", "sha256"), rows.select("path", "status", "assumed")).select("sha256", "reason")
 
 
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
 _BITS_SQL = """
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
 pairs AS (SELECT q.vec_id AS query, c.vec_id AS candidate, c.label AS day,
-  list_sum(list_transform(list_zip(q.b, c.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INT AS distance FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0)"""
+  list_sum(list_transform(list_zip(q.b, c.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INT AS distance FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)"""
 
 
 def _distances(spark, sf_dir):
-    """Every vector whose id is divisible by 50 as a query against all others: a stated query set, broadcast by a bound."""
+    """Every vector whose id is divisible by 50 as a query against all others: a stated query set, QUERY_BLOCK of them broadcast at once."""
     bits = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("day"), similarity.sign_bits(F.col("embedding")).alias("bits"))
     queries = bits.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("bits").alias("query_bits"))
-    rest = bits.filter("vec_id % 50 <> 0").select(F.col("vec_id").alias("candidate"), "day", "bits")
-    return rest.join(queries, F.lit(True)).select("query", "candidate", "day", similarity.hamming(F.col("query_bits"), F.col("bits")).alias("distance"))
+    rest = bits.select(F.col("vec_id").alias("candidate"), "day", "bits")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = [queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k) for k in range(blocks)]
+    pairs = [rest.join(F.broadcast(part), F.col("candidate") != F.col("query")) for part in parts]
+    return reduce(DataFrame.unionByName, pairs).select("query", "candidate", "day", similarity.hamming(F.col("query_bits"), F.col("bits")).alias("distance"))
 
 
 @query(_BITS_SQL + " SELECT query, candidate, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, candidate) AS place FROM pairs) WHERE place <= 5")
@@ -160,29 +168,28 @@ def coarse_topk(spark, sf_dir):
 
 
 @query(_BITS_SQL + """
-, p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, candidate) AS place, first_value(day) OVER (PARTITION BY query ORDER BY distance, candidate) AS best_day FROM pairs),
+, p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, candidate) AS place, first_value(day) OVER (PARTITION BY query ORDER BY distance, candidate) AS best_day, count(*) OVER (PARTITION BY query) AS total FROM pairs),
 f AS (SELECT *, min(CASE WHEN day <> best_day THEN place END) OVER (PARTITION BY query) AS rival FROM p),
 s AS (SELECT * FROM f WHERE place <= 5 OR place = rival),
-b AS (SELECT query, arg_min(candidate, place) AS best, arg_min(day, place) AS day, min(distance) AS distance, min(CASE WHEN day <> best_day THEN distance END) - min(distance) AS margin, count(*) AS compared FROM s GROUP BY query)
+b AS (SELECT query, arg_min(candidate, place) AS best, arg_min(day, place) AS day, min(distance) AS distance, min(CASE WHEN day <> best_day THEN distance END) - min(distance) AS margin, max(total) AS compared FROM s GROUP BY query)
 SELECT query, best, day, distance, margin, compared >= 3 AND distance <= 24 AND coalesce(margin >= 1, true) AS decisive FROM b
 """)
 def margin_decide(spark, sf_dir):
     """The nearest vector, decisive if its margin to the best one of another label is large enough (limits rescaled to 64 bits)."""
     kept = similarity.with_rival(_distances(spark, sf_dir), "query", "candidate", "distance", "day")
-    sizes = kept.groupBy("query").agg(F.count("*").alias("compared"))
-    found = similarity.decide_by_margin(kept.join(sizes, "query"), "query", "candidate", "distance", "day", max_distance=24, min_margin=1)
+    found = similarity.decide_by_margin(kept, "query", "candidate", "distance", "day", max_distance=24, min_margin=1)
     return found.select("query", "best", "day", "distance", "margin", "decisive")
 
 
 @query("""
 WITH g AS (SELECT c_custkey AS k, c_nationkey AS n0, n_regionkey AS n1, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey),
-q AS (SELECT k, n0, n1, 0 AS n2 FROM g WHERE k % 100 = 0), c AS (SELECT k, n0, n1, 0 AS n2 FROM g WHERE k % 100 <> 0 AND k % 7 = 1),
+q AS (SELECT k, n0, n1, 0 AS n2 FROM g WHERE k % 50 = 0), c AS (SELECT k, n0, n1, 0 AS n2 FROM g),
 l AS (SELECT q.k AS query, q.n0, q.n1, (SELECT count(*) FROM c WHERE c.n0 = q.n0) AS a, (SELECT count(*) FROM c WHERE c.n1 = q.n1) AS b, (SELECT count(*) FROM c) AS t FROM q),
 f AS (SELECT *, CASE WHEN a >= 12 THEN 0 WHEN b >= 12 THEN 1 WHEN t >= 12 THEN 2 END AS level FROM l)
-SELECT query, level, count(*) AS pool, min(c.k) AS first FROM f JOIN c ON (level = 0 AND c.n0 = f.n0) OR (level = 1 AND c.n1 = f.n1) OR level = 2 GROUP BY query, level
+SELECT query, level, count(*) AS pool, min(c.k) AS first FROM f JOIN c ON c.k <> f.query AND ((level = 0 AND c.n0 = f.n0) OR (level = 1 AND c.n1 = f.n1) OR level = 2) GROUP BY query, level
 """)
 def nominate_widen(spark, sf_dir):
-    """Candidates from a customer's nation, else region, else everywhere: the first level with at least 12."""
+    """For customers whose key is divisible by 50, all others from their nation, else region, else everywhere: the first level with at least 12."""
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n0"), F.col("n_regionkey").alias("n1"), F.lit(0).alias("n2"))
-    found = pairing.widening_pool(rows.filter("k % 100 = 0").withColumnRenamed("k", "query"), rows.filter("k % 100 <> 0 AND k % 7 = 1").withColumnRenamed("k", "candidate"), ["n0", "n1", "n2"], 12)
-    return found.groupBy("query", "level").agg(F.count("*").alias("pool"), F.min("candidate").alias("first"))
+    found = pairing.widening_pool(rows.filter("k % 50 = 0").withColumnRenamed("k", "query"), rows.withColumnRenamed("k", "candidate"), ["n0", "n1", "n2"], 12)
+    return found.filter("candidate <> query").groupBy("query", "level").agg(F.count("*").alias("pool"), F.min("candidate").alias("first"))

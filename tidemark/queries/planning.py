@@ -176,14 +176,14 @@ def rollback_order(spark, sf_dir):
 
 
 _CACHE_SQL = """
-WITH now AS (SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey AS path, l_quantity::BIGINT AS size, epoch_ms(l_shipdate)::DOUBLE AS mtime_ms FROM lineitem WHERE l_orderkey % 4 = 0),
+WITH now AS (SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey AS path, l_quantity::BIGINT AS size, epoch_ms(l_shipdate)::DOUBLE AS mtime_ms FROM lineitem),
 now1 AS (SELECT DISTINCT * FROM now QUALIFY row_number() OVER (PARTITION BY path ORDER BY size, mtime_ms) = 1),
 old AS (SELECT path, size + CASE WHEN size % 5 = 0 THEN 1 ELSE 0 END AS size, mtime_ms, 'photo' AS kind FROM now1 WHERE size % 3 > 0)"""
 
 
 def _snapshots(spark, sf_dir):
     """Line items as a listing, and an older snapshot of it with some sizes changed and some files missing."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_quantity").cast("long").alias("size"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).cast("double").alias("mtime_ms"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_quantity").cast("long").alias("size"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).cast("double").alias("mtime_ms"))
     listing = rows.groupBy("path").agg(F.min(F.struct("size", "mtime_ms")).alias("m")).select("path", "m.size", "m.mtime_ms")
     old = listing.filter("size % 3 > 0").select("path", (F.col("size") + F.when(F.col("size") % 5 == 0, 1).otherwise(0)).alias("size"), "mtime_ms", F.lit("photo").alias("kind"), F.lit("jpeg").alias("format"), F.sha2("path", 256).alias("sha256"))
     return listing, old

@@ -209,6 +209,58 @@ def test_scan_apply_and_roll_back(spark, tree):
     assert contents(tree) == before and (tree / "empty/.keep").is_dir()
 
 
+def test_late_tags_and_xmp_sidecars(spark, tree):
+    """A TIFF whose directory lies behind its picture, and an XMP sidecar with a capture date."""
+    import struct
+
+    entry = struct.pack("<HHII", 0x9003, 2, 20, 400_030)
+    (tree / "cam/late.tif").write_bytes(b"II*\0" + struct.pack("<I", 400_000) + b"\1" * 399_992 + struct.pack("<H", 1) + entry + b"\0" * 16 + b"2014:05:06 07:08:09\0")
+    (tree / "cam/odd.jpg").write_bytes(b"\xff\xd8\xff\xd9odd")
+    (tree / "cam/odd.jpg.xmp").write_text('<x:xmpmeta><rdf:RDF><a xmp:ModifyDate="2020-01-01T00:00:00"/>' + " " * 70_000 + '<a photoshop:DateCreated="2016-03-04"/></rdf:RDF></x:xmpmeta>')
+    found = engine.scan(spark, str(tree))
+    raw = {r.path: r for r in metadata.read_raw(found.assets, str(tree)).collect()}
+    assert raw["cam/late.tif"].original == "2014:05:06 07:08:09" and raw["cam/odd.jpg.xmp"].xmp_original == "2016-03-04"
+    verdicts = {r.path: r for r in engine.annotate(found.assets, NOW, metadata.read_raw(found.assets, str(tree))).collect()}
+    assert (verdicts["cam/odd.jpg"].winner, verdicts["cam/odd.jpg"].date[:10], verdicts["cam/odd.jpg"].date_only) == ("sidecar", "2016-03-04", True)
+
+
+def test_one_scan_reads_each_file_once(spark, tree):
+    """What the scan found is a table: later changes of the files don't reach it."""
+    found = engine.scan(spark, str(tree))
+    before = sorted(map(tuple, found.assets.collect()))
+    for path in tree.rglob("*.jpg"):
+        path.write_bytes(b"other")
+    assert sorted(map(tuple, found.assets.collect())) == before and found.errors.count() == 0
+
+
+def test_refused_and_torn_resumes(spark, tree):
+    found = engine.scan(spark, str(tree))
+    made = engine.make_plan(found, engine.annotate(found.assets, NOW))
+    ops, before = made.operations.cache(), contents(tree)
+    assert ops.count() > 2
+    part = executor.apply_plan(str(tree), ops.limit(2), made.emptied.limit(0))
+    folder = tree / executor.RUNS_DIR / part["run_id"]
+    log = folder / "journal.jsonl"
+    log.write_text("\n".join(log.read_text().split("\n")[:-2]) + '\n{"torn')
+    executor.apply_plan(str(tree), ops, made.emptied, run_id=part["run_id"])  # the torn line stays no part of the next one
+    moved = {r["to"] for r in executor.read_records(log) if r["kind"] == "moved"}
+    assert len(moved) == ops.count()
+    manifest = (folder / "manifest.jsonl").read_text()
+    (folder / "manifest.jsonl").write_text("")
+    with pytest.raises(ValueError, match="backup"):
+        executor.apply_plan(str(tree), ops, made.emptied, run_id=part["run_id"])
+    with pytest.raises(ValueError, match="journal"):
+        executor.apply_plan(str(tree), ops, made.emptied, run_id="run-20200101-000000-abcdef")
+    (folder / "manifest.jsonl").write_text(manifest)
+    import shutil
+
+    for name in {r["from"].split("/")[0] for r in executor.read_records(log) if r["kind"] == "moved" and "/" in r["from"]}:
+        if (tree / name).is_dir() and not any(p.is_file() for p in (tree / name).rglob("*")):
+            shutil.rmtree(tree / name)  # a missing parent doesn't stop the undo
+    assert executor.roll_back(str(tree), part["run_id"])["failed"] == 0
+    assert contents(tree) == before
+
+
 def test_cached_scan_is_a_fresh_scan(spark, tree, tmp_path_factory):
     store = str(tmp_path_factory.mktemp("cache") / "scan")
     assets = engine.scan(spark, str(tree)).assets

@@ -42,7 +42,12 @@ def annotate(assets: DataFrame, now_year: int, raw: DataFrame | None = None) ->
         sources.append(evidence.exploded(own, metadata.photo_claims(own), 0))
         pairs = pairing.pair_sidecars(assets)
         beside = raw.withColumnRenamed("path", "sidecar").join(pairs, "sidecar")
-        claims = F.array_compact(F.array(evidence.claim("sidecar", metadata.exif_wall(F.col("original")), detail=F.concat(paths.base_of(F.col("sidecar")), F.lit(" (DateTimeOriginal)")))))
+        said, written_down = metadata.exif_wall(F.col("original")), metadata.sidecar_wall(F.col("xmp_original"))
+        detail = F.concat(paths.base_of(F.col("sidecar")), F.lit(" (DateTimeOriginal)"))
+        claims = F.array_compact(F.array(
+            evidence.claim("sidecar", said, detail=detail),
+            F.when(said.isNull(), evidence.claim("sidecar", written_down["wall"], date_only=F.coalesce(written_down["date_only"], F.lit(False)), detail=detail)),
+        ))
         sources.append(evidence.exploded(beside, claims, 3))
     spikes = corpus.spike_days(media.withColumn("ts", F.timestamp_millis(F.col("mtime_ms").cast("long"))), "ts")
     claims = written(evidence.collect(assets, now_year, *sources), "evidence")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import identify, paths
 from tidemark.functions import values as V
 from tidemark.sources import cache
+from tidemark.sources.scratch import written
 
 RUNS_DIR = ".tidemark-runs"
 _CHUNK = 1 << 20
@@ -80,15 +81,15 @@ def typed(files: DataFrame) -> DataFrame:
 
 
 def scan_tree(spark: SparkSession, root: str, cached: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assets, dirs, errors): files that the cache knows aren't read again."""
+    """(assets, dirs, errors): every file body is read once, here, and files that the cache knows aren't read at all."""
     files, dirs, errors = list_tree(spark, root)
     columns = ["path", "size", "mtime_ms", "kind", "format", "sha256"]
     if cached is None:
-        fresh = typed(read_heads(files, root))
+        fresh = written(typed(read_heads(files, root)), "scan")
         hits = None
     else:
         probed = cache.probe(files, cached)
         hits = probed.filter("hit").select(columns)
-        fresh = typed(read_heads(probed.filter("NOT hit").select("path", "size", "mtime_ms"), root))
+        fresh = written(typed(read_heads(probed.filter("NOT hit").select("path", "size", "mtime_ms"), root)), "scan")
     assets = fresh.select(columns) if hits is None else hits.unionByName(fresh.select(columns))
     return assets, dirs, errors.unionByName(fresh.filter("error IS NOT NULL").select("path", "error"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import re
 import struct
@@ -15,9 +16,8 @@ from tidemark.functions import dates, paths
 from tidemark.functions import values as V
 from tidemark.operators.evidence import claim
 
-HEAD_BYTES = 1 << 18
 _TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x0132: "modified", 0x9003: "original", 0x0100: "width", 0x0101: "height", 0xA002: "width", 0xA003: "height"}
-RAW = "make string, model string, software string, original string, modified string, width int, height int, document_id string, derived_from string, xmp_modified string, container_s bigint"
+RAW = "make string, model string, software string, original string, modified string, width int, height int, document_id string, derived_from string, xmp_modified string, xmp_original string, container_s bigint"
 _NAMES = [x.split()[0] for x in RAW.split(", ")]
 _MOVIE_EPOCH, _BOXES = 2_082_844_800, 128
 
@@ -55,9 +55,10 @@ def read_tags(data: bytes) -> dict:
         except struct.error:
             pass
     if (at := data.find(b"<x:xmpmeta")) >= 0 or (at := data.find(b"<rdf:RDF")) >= 0:
-        xml = data[at : at + (1 << 16)].decode("utf-8", "replace")
+        ends = [data.find(tag, at) for tag in (b"</x:xmpmeta>", b"</rdf:RDF>")]
+        xml = data[at : max(ends) if max(ends) > 0 else len(data)].decode("utf-8", "replace")
         value = lambda p: (m := re.search(rf'{p}\s*=\s*"([^"]*)"|<{p}>([^<]*)<', xml)) and (m[1] or m[2])
-        found |= {k: v for k, v in (("document_id", value("xmpMM:DocumentID")), ("derived_from", value("stRef:documentID")), ("xmp_modified", value("xmp:ModifyDate") or value("xmp:CreateDate"))) if v}
+        found |= {k: v for k, v in (("document_id", value("xmpMM:DocumentID")), ("derived_from", value("stRef:documentID")), ("xmp_modified", value("xmp:ModifyDate") or value("xmp:CreateDate")), ("xmp_original", next(filter(None, map(value, V.XMP_DATES)), None))) if v}
         found.setdefault("software", value("xmp:CreatorTool"))
     at = 2
     while data[:2] == b"\xff\xd8" and at + 9 < len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
@@ -105,7 +106,7 @@ def movie_seconds(file, size: int) -> int | None:
 
 
 def read_raw(assets: DataFrame, root: str) -> DataFrame:
-    """(path, RAW columns) of media files and sidecars; unreadable files give nulls. Only heads and headers are read."""
+    """(path, RAW columns) of media files and sidecars; unreadable files give nulls. Tags are looked up wherever they lie, in the mapped file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"width": pa.int32(), "height": pa.int32(), "container_s": pa.int64()}
@@ -118,8 +119,9 @@ def read_raw(assets: DataFrame, root: str) -> DataFrame:
                     with open(full, "rb") as file:
                         if kind == "video":
                             tags["container_s"] = movie_seconds(file, os.path.getsize(full))
-                        else:
-                            tags = read_tags(file.read(HEAD_BYTES))
+                        elif os.path.getsize(full):
+                            with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
+                                tags = read_tags(mapped)
                 except (OSError, struct.error):
                     tags = {}
                 rows.append(tags)

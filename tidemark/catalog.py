@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import registry
-from tidemark.queries import dating, grouping, planning  # noqa: F401  (they register their queries)
+from tidemark.queries import dating, grouping, planning, reporting  # noqa: F401  (they register their queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,35 +17,52 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--dry-run", action="store_true")
     parser.add_argument("--allow-no-snapshot", action="store_true")
+    parser.add_argument("--no-pixels", action="store_true", help="don't look for the originals of saved pictures by their pixels")
     said = parser.parse_args(args)
     if not Path(said.root).is_dir():
         print(f"{said.root} is no directory", file=sys.stderr)
         return 2
+    from pyspark.sql import SparkSession
+
     from tidemark import engine
+    from tidemark.plans import reports
+    from tidemark.sources import library, metadata, texts
+    from tidemark.sources.inventory import RUNS_DIR
 
+    spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    tell = lambda lines: [print(line) for line in lines]
     if said.command == "rollback":
         if not said.run_id:
             parser.error("rollback needs a run id")
-        print(json.dumps(engine.roll_back(said.root, said.run_id, said.dry_run)))
-        return 0
-    from pyspark.sql import SparkSession
-
-    from tidemark.sources import metadata
-
-    spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        if library.undoable(spark, said.root, said.run_id) in ("not-found", "outside"):
+            print(f"{said.run_id} is no run of {said.root}", file=sys.stderr)
+            return 2
+        done = engine.roll_back(said.root, said.run_id, said.dry_run)
+        if not said.dry_run and not done["failed"]:
+            library.forget_run(spark, said.root, said.run_id)
+        tell([json.dumps(done)] if said.json else reports.rollback_report(done))
+        return 1 if done["failed"] else 0
+    open_run = library.blocking_run(spark, said.root)
+    if said.command == "apply" and not said.dry_run and open_run and said.run_id != open_run:
+        tell(reports.unfinished_warning(library.read_runs(spark, said.root).filter("NOT finished AND NOT dry_run").orderBy("started_at", "run_id")))
+        return 3
     found = engine.scan(spark, said.root)
-    verdicts = engine.annotate(found.assets, datetime.now().year, metadata.read_raw(found.assets, said.root))
+    raw = metadata.read_raw(found.assets, said.root)
+    verdicts = engine.annotate(found.assets, datetime.now().year, raw, None if said.no_pixels else said.root)
     if said.command == "scan":
         for row in verdicts.orderBy("path").toJSON().toLocalIterator():
             print(row)
         return 0
-    plan = engine.make_plan(found, verdicts)
+    plan = engine.make_plan(found, verdicts, library.decisions(spark, said.root))
     if said.command == "plan":
-        for row in (plan.operations if said.json else plan.counts()).toJSON().toLocalIterator():
-            print(row)
+        tell(plan.operations.toJSON().toLocalIterator() if said.json else reports.plan_report(plan, said.root))
+        library.save_decisions(spark, said.root, plan.suspicious)
         return 0
     done = engine.apply(said.root, plan, said.dry_run, not said.allow_no_snapshot, said.run_id)
-    print(json.dumps(done))
+    if not said.dry_run and done["moved"]:
+        library.record_run(spark, said.root, done["run_id"], done["moved"])
+    records = texts.read_journals(spark, f"{said.root}/{RUNS_DIR}/{done['run_id']}/journal.jsonl").filter("state = 'ok'")
+    tell([json.dumps(done)] if said.json else reports.apply_report(done, records))
     return 1 if done["failed"] else 0
 
 

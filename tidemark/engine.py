@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, paths
 from tidemark.functions import values as V
 from tidemark.functions.dates import WALL
-from tidemark.operators import corpus, evidence, pairing, verdict
+from tidemark.operators import corpus, evidence, pairing, pixels, similarity, verdict
 from tidemark.plans import executor
 from tidemark.plans.plan import Plan, build_plan
 from tidemark.sources import inventory, metadata
@@ -28,11 +28,34 @@ def scan(spark: SparkSession, root: str, cached: DataFrame | None = None) -> Inv
     return Inventory(*inventory.scan_tree(spark, root, cached))
 
 
-def annotate(assets: DataFrame, now_year: int, raw: DataFrame | None = None) -> DataFrame:
+def pixel_claims(root: str, assets: DataFrame, claims: DataFrame, verdicts: DataFrame, facts: DataFrame, models: DataFrame) -> DataFrame:
+    """Claims of JPEG photos that an editor saved without a date: the capture date of the photo whose pixels they show.
+
+    models: path, model of the query's camera as far as it is known. The tree has to be readable by Spark.
+    """
+    month = F.format_string("%04d-%02d", F.col("wall.year"), F.col("wall.month"))
+    saved = claims.filter("kind = 'editor-save'").groupBy("path").agg(F.min(month).alias("latest"))
+    queries = written(pairing.broken_class(assets, verdicts, saved).join(models.select("path", "model"), "path", "left"), "queries")
+    taken = claims.filter("kind = 'exif-original'").groupBy("path").agg(F.min_by("wall", F.struct("source_ord", "seq")).alias("wall"))
+    dated = verdicts.filter("status = 'dated'").select("path", F.substring("date", 1, 10).alias("day"))
+    photos = assets.filter("kind = 'photo' AND format = 'jpeg'").select("path").join(taken.select("path"), "path").join(dated, "path").join(facts.select("path", "model"), "path", "left")
+    pairs = written(pairing.nominate(queries, photos), "pairs")
+    needed = pairs.select(F.col("query").alias("path")).unionByName(pairs.select(F.col("candidate").alias("path"))).distinct()
+    decoded = pixels.images(assets.sparkSession, root).withColumn("path", pixels.below(F.col("origin"), root)).join(needed, "path", "left_semi")
+    scored = written(pixels.score_previews(pairs, written(pixels.previewed(decoded), "previews")), "scores")
+    compared = scored.groupBy("query").agg(F.count("*").alias("compared"))
+    verified = scored.filter("fine IS NOT NULL").join(compared, "query")
+    found = similarity.decide_by_margin(verified, "query", "candidate", "fine", "day").filter("decisive")
+    found = found.select(F.col("query"), F.col("best").alias("path")).join(taken, "path").select(F.col("query").alias("path"), F.col("path").alias("original"), "wall")
+    return evidence.exploded(found, F.array_compact(F.array(evidence.claim("pixel-original", F.col("wall"), detail=F.col("original")))), 13)
+
+
+def annotate(assets: DataFrame, now_year: int, raw: DataFrame | None = None, root: str | None = None) -> DataFrame:
     """VERDICT rows of all media files.
 
     Four static passes: own claims; originals that a file derives from; inference from the directory (cohort)
-    and from photos of the same camera (family). Evidence and verdicts are written, as every pass reads them again.
+    and from photos of the same camera (family); with root, originals found by their pixels. Evidence and verdicts
+    are written, as every pass reads them again.
     """
     media = assets.filter(F.col("kind").isin(*V.MEDIA_KINDS))
     sources, facts = [], None
@@ -71,7 +94,12 @@ def annotate(assets: DataFrame, now_year: int, raw: DataFrame | None = None) ->
         matched = pairing.family_match(queries.select("path", "dir", "model", "width", "height"), census).join(queries.select("path", "dir", "latest"), "path").join(census, ["dir", "model"])
         sure = matched.filter("first_year = last_year AND first_year <= latest").withColumn("y", F.col("first_year")).join(unknown.select("path"), "path", "left_semi")
         extra.append(evidence.exploded(sure, year_claim("family", F.concat_ws(" ", F.col("neighbours").cast("string"), "model")), 11))
-    return written(verdict.resolve(evidence.union(claims, *extra), now_year, floor), "verdicts")
+    if facts is None or root is None:
+        return written(verdict.resolve(evidence.union(claims, *extra), now_year, floor), "verdicts")
+    claims = written(evidence.union(claims, *extra), "evidence")
+    second = written(verdict.resolve(claims, now_year, floor), "verdicts")
+    found = pixel_claims(root, assets, claims, second, facts, matched.select("path", "model"))
+    return written(verdict.resolve(evidence.union(claims, found), now_year, floor), "verdicts")
 
 
 def make_plan(found: Inventory, verdicts: DataFrame, decisions: DataFrame | None = None) -> Plan:

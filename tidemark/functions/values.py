@@ -24,6 +24,7 @@ SPIKE_COUNT, SPIKE_SHARE = 3, 0.1
 COHORT_COUNT, COHORT_SHARE = 3, 0.8
 FAMILY_NEIGHBOURS = 3
 BOUNDARY_HOURS = 12
+PIXEL_LEAST, PIXEL_MOST, PIXEL_LEVELS = 3, 500, 2
 
 # Names of directories in the planned layout.
 WINTER_START, SPRING, SUMMER, AUTUMN, WINTER_END = "Зима начало года", "Весна", "Лето", "Осень", "Зима конец года"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,39 @@ def widening_pool(queries: DataFrame, candidates: DataFrame, levels: list[str],
         out = found if out is None else out.unionByName(found)
         left = left.join(ready.select("query"), "query", "left_anti")
     return out
+
+
+def broken_class(assets: DataFrame, verdicts: DataFrame, saved: DataFrame) -> DataFrame:
+    """(path, saved columns) of JPEG photos that an editor saved and that have no date of their own."""
+    undated = verdicts.filter("status <> 'dated'").select("path")
+    return assets.filter("kind = 'photo' AND format = 'jpeg'").select("path").join(undated, "path", "left_semi").join(saved, "path")
+
+
+def nominate(queries: DataFrame, candidates: DataFrame, levels: int = V.PIXEL_LEVELS, least: int = V.PIXEL_LEAST, most: int = V.PIXEL_MOST) -> DataFrame:
+    """(query, candidate, day, level, available): which dated photos could be the original of a query.
+
+    queries: path, model, latest (month 'yyyy-MM'), both may be null; candidates: path, model, day. A pool is what lies in
+    the query's own directory, or else anywhere below its parent, and so on for `levels` more, of the same model where
+    both are known and not of a later month; the first pool of at least `least` is taken. Of a pool the first `most`
+    by path are compared (as the search is defined), `available` is its whole number. Queries of one directory, model and month share
+    a pool, so pools are made for those keys, level by level, and only keys without one go on.
+    """
+    steps = F.reverse(paths.ancestors(F.col("path")))
+    named = queries.select(F.col("path").alias("query"), F.col("model").alias("q_model"), "latest", paths.dir_of(F.col("path")).alias("own"), steps.alias("up"))
+    keys = ["own", "q_model", "latest"]
+    left = named.groupBy(*keys).agg(F.first("up").alias("up"))
+    own = candidates.select(F.col("path").alias("candidate"), F.col("model").alias("c_model"), "day", paths.dir_of(F.col("path")).alias("dir"))
+    below = candidates.select(F.col("path").alias("candidate"), F.col("model").alias("c_model"), "day", F.explode(F.concat(paths.ancestors(F.col("path")), F.array(F.lit("")))).alias("dir")).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys])
+    found = None
+    for level in range(levels + 1):
+        here = F.coalesce(F.get("up", F.lit(level)), F.when(F.size("up") == level, F.lit("")))  # after the last ancestor comes the root
+        at = left.withColumn("dir", here).filter("dir IS NOT NULL")
+        fits = (F.col("q_model").isNull() | F.col("c_model").isNull() | (F.col("q_model") == F.col("c_model"))) & (F.col("latest").isNull() | (F.substring("day", 1, 7) <= F.col("latest")))
+        pool = at.join(own if level == 0 else below, "dir").filter(fits).select(*keys, "candidate", "day")
+        sizes = pool.groupBy(*keys).agg(F.count("*").alias("available")).filter(F.col("available") >= least)
+        first = pool.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("candidate"))).filter(F.col("place") <= most)
+        rows = first.alias("l").join(sizes.alias("r"), same).select("l.*", "r.available", F.lit(level).alias("level")).drop("place")
+        found = rows if found is None else found.unionByName(rows)
+        left = left.alias("l").join(sizes.alias("r"), same, "left_anti")
+    return named.alias("l").join(found.alias("r"), same).select("l.query", "r.candidate", "r.day", "r.level", "r.available")

@@ -26,6 +26,12 @@ def unfinished_runs(records: DataFrame) -> DataFrame:
     return run_history(records).filter("NOT finished AND NOT dry_run").select("run_id", "started_at", "planned", "moved", "last_seq").orderBy("started_at", "run_id")
 
 
+def refusals(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """(run_id, reason) of asked runs: 'not-found', 'not-undoable', or null for one that can be undone."""
+    known = history.select("run_id", "undoable")
+    return asked.select("run_id").distinct().join(known, "run_id", "left").select("run_id", F.when(F.col("undoable").isNull(), "not-found").when(~F.col("undoable"), "not-undoable").alias("reason"))
+
+
 def unconfirmed_moves(records: DataFrame) -> DataFrame:
     """(run_id, seq, from, to) of planned moves that no record confirms; only the disk can tell whether they happened."""
     planned = records.filter("kind = 'planned-move'").select("run_id", "seq", "from", "to")

@@ -9,6 +9,7 @@ import pytest
 
 from tests.test_pixels import picture
 from tidemark import cli, engine
+from tidemark.operators import pairing
 from tidemark.plans import executor, reports
 from tidemark.sources import library, metadata
 
@@ -102,3 +103,14 @@ def test_pixel_original(spark, tmp_path):
     made = engine.make_plan(found, engine.annotate(found.assets, 2026, raw))
     lines = list(reports.plan_report(made, "root"))
     assert lines[0] == "Plan for root" and "\nMoves" in lines and sum(" -> " in x for x in lines) == 6
+
+
+def test_nomination_widens_and_counts_what_it_cuts(spark):
+    """Pools stop at the first full level, are cut by path and say how many there were; the own directory counts without what is below it."""
+    photos = [("a/b/1.jpg", "X", "2013-01-01"), ("a/b/c/2.jpg", None, "2013-01-02"), ("a/3.jpg", "X", "2013-02-01"), ("a/4.jpg", "Y", "2013-01-01"), ("a/5.jpg", "X", "2015-01-01"), ("6.jpg", "X", "2012-01-01")]
+    candidates = spark.createDataFrame(photos, "path string, model string, day string")
+    queries = spark.createDataFrame([("a/b/q.jpg", "X", "2014-02"), ("a/b/r.jpg", None, None), ("s.jpg", None, None), ("z/y/x/t.jpg", "X", None)], "path string, model string, latest string")
+    rows = {}
+    for r in pairing.nominate(queries, candidates, most=2).orderBy("query", "candidate").collect():
+        rows.setdefault((r.query, r.level, r.available), []).append(r.candidate)
+    assert rows == {("a/b/q.jpg", 1, 3): ["a/3.jpg", "a/b/1.jpg"], ("a/b/r.jpg", 1, 5): ["a/3.jpg", "a/4.jpg"]}

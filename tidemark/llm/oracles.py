@@ -47,4 +47,38 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op8_decontamination": DECONTAMINATION}
+def _crc32(rows: str) -> str:
+    """CTEs ending in crc(id, crc): crc32 of the strings s of the query rows (id, s), ids distinct.
+
+    crc32 is linear over bits: each byte adds the image of its bits under as many steps by a
+    zero byte as bytes follow. Doubling makes the table of those images, whose first columns are those of the polynomial.
+    """
+    step = [0x77073096, 0xEE0E612C, 0x076DC419, 0x0EDB8832, 0x1DB71064, 0x3B6E20C8, 0x76DC4190, 0xEDB88320, *(1 << j for j in range(24))]
+    image = "list_bit_xor(list_transform(range(0, 32), lambda j: ((x >> j) & 1) * m[j + 1]))"
+    return f"""
+crc_in AS ({rows}),
+crc_long AS (SELECT coalesce(max(octet_length(encode(s))), 0) + 1 AS longest FROM crc_in),
+crc_doubling(k, m, t) AS (
+  SELECT 0, {step}::BIGINT[], [{[*(1 << j for j in range(8)), 0xFFFFFFFF]}::BIGINT[]]
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda x: {image}), list_concat(t, list_transform(t, lambda v: list_transform(v, lambda x: {image}))) FROM crc_doubling, crc_long WHERE len(t) <= longest
+),
+crc_last AS (SELECT t FROM crc_doubling ORDER BY k DESC LIMIT 1),
+crc_table AS (SELECT unnest(t) AS z, unnest(range(0, len(t))) AS n FROM crc_last),
+crc_bytes AS (SELECT id, octet_length(encode(s)) AS size, unnest(regexp_extract_all(hex(encode(s)), '..')) AS b, unnest(range(octet_length(encode(s)), 0, -1)) AS n FROM crc_in),
+crc_parts AS (SELECT id, bit_xor(list_bit_xor([{', '.join(f"((('0x' || b)::BIGINT >> {j}) & 1) * z[{j + 1}]" for j in range(8))}])) AS x FROM crc_bytes JOIN crc_table USING (n) GROUP BY id),
+crc AS (SELECT id, xor(xor(coalesce(x, 0), z[9]), 4294967295) AS crc FROM crc_in LEFT JOIN crc_parts USING (id) JOIN crc_table ON n = octet_length(encode(s)))"""
+
+
+_HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+SHARDING = f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS s FROM documents),{_crc32("SELECT id, s FROM t")},
+h AS (SELECT doc_id, coalesce('=' || source, '') AS stratum, octet_length(encode(s)) + 8 AS size, crc, {_HASH60.format("'tidemark:' || coalesce(doc_id::VARCHAR, ' ') || ':' || crc || ':' || (octet_length(encode(s)) + 8)")} AS h FROM t JOIN crc USING (id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, crc, size) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n, ({_HASH60.format("'tidemark:' || stratum")} >> 28)::DOUBLE / 4294967296::DOUBLE AS phase FROM h),
+f AS (SELECT *, row_number() OVER (ORDER BY (k + phase) / n::DOUBLE, stratum, k) - 1 AS place, count(*) OVER () AS total FROM r),
+c AS (SELECT *, (place * 24) // total AS shard FROM f)
+SELECT doc_id, size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, (place - (shard * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM c
+"""
+
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op8_decontamination": DECONTAMINATION, "op12_interleaved_shards": SHARDING}

@@ -81,4 +81,65 @@ c AS (SELECT *, (place * 24) // total AS shard FROM f)
 SELECT doc_id, size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, (place - (shard * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM c
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op8_decontamination": DECONTAMINATION, "op12_interleaved_shards": SHARDING}
+_FOLLOWS = {"n": "u", "s": "u", "u": "a", "a": "u"}
+_ROLE_OF = {"u": "user:", "a": "assistant:"}
+
+
+def _insertions() -> str:
+    """(state, letters, state after, cost, lines) of no, one and two insertions."""
+    rows = []
+    for state in _FOLLOWS:
+        q, lines = state, []
+        for n in range(3):
+            rows.append(f"('{state}', '{'I' * n}', '{q}', {3 * n}, {lines}::VARCHAR[])")
+            q = _FOLLOWS[q]
+            lines = [*lines, _ROLE_OF[q]]
+    return ", ".join(rows)
+
+
+_WHITE = r"[ \t\n\v\f\r]"
+
+REPAIR = rf"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations
+),{_crc32("SELECT id, s FROM t")},
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role,
+         CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE crc % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM t JOIN crc USING (id)
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS said, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) || left(role, 1) AS pair
+  FROM damaged
+),
+f AS (SELECT *, CASE WHEN said = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'g' END AS fault FROM numbered),
+insertions(q, letters, q2, price, lines) AS (VALUES {_insertions()}),
+dp(conv_id, i, state, v) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 'n', {{'c': 0, 'a': '', 'o': []::VARCHAR[]}} FROM conversations
+  UNION ALL
+  SELECT conv_id, i, state, min(v) FROM (
+    SELECT f.conv_id, f.i, CASE edit WHEN 'D' THEN q2 WHEN 'K' THEN f.c WHEN 'R' THEN CASE q2 WHEN 'u' THEN 'a' ELSE 'u' END END AS state,
+      {{'c': (p.v.c + price + CASE edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 't' THEN 3 ELSE 0 END)::INTEGER,
+        'a': p.v.a || letters || edit,
+        'o': list_concat(p.v.o, list_concat(lines, CASE edit WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE q2 WHEN 'u' THEN 'assistant:' ELSE 'user:' END || f.text] END))}} AS v
+    FROM dp p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN insertions ON q = p.state, (VALUES ('D'), ('K'), ('R')) edits(edit)
+    WHERE edit = 'D' OR fault IN ('g', 't') AND (edit = 'R' OR q2 || f.c IN ('ns', 'nu', 'su', 'ua', 'au'))
+  ) GROUP BY conv_id, i, state
+),
+counts AS (
+  SELECT c.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(i), 0) AS n
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id
+),
+closing(q, letters, price, lines) AS (VALUES ('n', '', 0, []::VARCHAR[]), ('s', 'II', 6, ['user:', 'assistant:']), ('u', 'I', 3, ['assistant:']), ('a', '', 0, []::VARCHAR[])),
+best AS (
+  SELECT dp.conv_id, min({{'c': v.c + price, 'a': v.a || letters, 'o': list_concat(v.o, lines)}}) AS v
+  FROM dp JOIN counts ON counts.conv_id IS NOT DISTINCT FROM dp.conv_id AND n = i JOIN closing ON q = state GROUP BY dp.conv_id
+)
+SELECT counts.conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, v.c::BIGINT AS cost, v.a AS audit, sha256(array_to_string(v.o, chr(10))) AS repaired_sha256
+FROM counts JOIN best ON best.conv_id IS NOT DISTINCT FROM counts.conv_id
+"""
+
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op8_decontamination": DECONTAMINATION, "op11_conversation_repair": REPAIR, "op12_interleaved_shards": SHARDING}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html, jobs, langid, lines, neardup, oracles, packing, quality, secrets, sharding, substrings, tokenfiles
+from tidemark.llm import decontam, html, jobs, langid, lines, neardup, oracles, packing, quality, repair, secrets, sharding, substrings, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after the stated damage."""
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op12_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of equal row counts that hold the mixture of sources."""
     rows = sharding.interleave(_table(spark, sf_dir, "documents"))
@@ -91,7 +96,7 @@ def op12_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op4_packing, op5_near_duplicates, op6_language_id, op7_html_text, op8_decontamination, op9_token_files, op10_quality_rules, op12_interleaved_shards)
+    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op4_packing, op5_near_duplicates, op6_language_id, op7_html_text, op8_decontamination, op9_token_files, op10_quality_rules, op11_conversation_repair, op12_interleaved_shards)
     return {f.__name__: f for f in made}
 
 

@@ -142,4 +142,21 @@ SELECT counts.conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illega
 FROM counts JOIN best ON best.conv_id IS NOT DISTINCT FROM counts.conv_id
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op8_decontamination": DECONTAMINATION, "op11_conversation_repair": REPAIR, "op12_interleaved_shards": SHARDING}
+TRIE = f"""
+WITH RECURSIVE own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS said FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),{_crc32("SELECT conv_id AS id, conv_id::VARCHAR AS s FROM own")},
+rebuilt AS (
+  SELECT own.conv_id, list_concat(coalesce(b.said[1:crc % 6], []), own.said[crc % 6 + 1:]) AS said
+  FROM own JOIN crc ON crc.id = own.conv_id LEFT JOIN own b ON b.conv_id = own.conv_id - own.conv_id % 100
+),
+prefixes AS (SELECT conv_id, d, len(said) = d AS ends, coalesce(length(said[d].text), 0) AS chars, md5(to_json(said[1:d])::VARCHAR) AS name, CASE WHEN d > 0 THEN md5(to_json(said[1:d - 1])::VARCHAR) END AS above FROM (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT name, any_value(above) AS above, any_value(d) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM prefixes GROUP BY name),
+children AS (SELECT above AS name, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above),
+totals AS (
+  SELECT p.name, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved_tokens
+  FROM nodes v JOIN prefixes p ON p.conv_id = v.conv_id AND p.d <= v.depth LEFT JOIN children c ON c.name = v.name GROUP BY p.name
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(c.n, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM nodes v LEFT JOIN nodes u ON u.name = v.above LEFT JOIN children c ON c.name = v.name JOIN totals ON totals.name = v.name
+"""
+
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op8_decontamination": DECONTAMINATION, "op11_conversation_repair": REPAIR, "op12_interleaved_shards": SHARDING, "op13_prefix_trie": TRIE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html, jobs, langid, lines, neardup, oracles, packing, quality, repair, secrets, sharding, substrings, tokenfiles
+from tidemark.llm import decontam, html, jobs, langid, lines, neardup, oracles, packing, quality, repair, secrets, sharding, substrings, tokenfiles, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,8 +95,13 @@ def op12_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op4_packing, op5_near_duplicates, op6_language_id, op7_html_text, op8_decontamination, op9_token_files, op10_quality_rules, op11_conversation_repair, op12_interleaved_shards)
+    made = (op1_secret_scan, op2_line_dedup, op3_substring_dedup, op4_packing, op5_near_duplicates, op6_language_id, op7_html_text, op8_decontamination, op9_token_files, op10_quality_rules, op11_conversation_repair, op12_interleaved_shards, op13_prefix_trie)
     return {f.__name__: f for f in made}
 
 

@@ -86,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every conversation after the stated damage."""
-    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")), "present")
 
 
 def op12_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def auction(arcs: Callable[[int], Iterable[Arc]], origin: int, last: int, prices
 def trace(arcs: Callable[[int], Iterable[Arc]], origin: int, last: int, prices: list[int]) -> tuple[list, int]:
     """The first letters in order along tight arcs that arrive, and where."""
     dead: set[int] = set()
-    path, letters, ways = [origin], [], [iter(arcs(origin))]
+    path, letters, ways = [origin], [], [iter(arcs(origin) if origin < last else ())]
     while (node := path[-1]) < last:
         for letter, cost, far in ways[-1]:
             if prices[node] == cost + prices[node + far] and node + far not in dead:
@@ -260,11 +260,11 @@ def damaged(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("present"))
 
 
-def _read(turns: DataFrame) -> DataFrame:
+def _read(turns: DataFrame, present_col: str | None) -> DataFrame:
     """key (never null), conv_id, turn, role, text, present."""
     said = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" ")).alias(name)
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key")
-    present = F.coalesce(F.col("present"), F.lit(True)) if "present" in turns.columns else F.lit(True)
+    present = F.coalesce(F.col(present_col), F.lit(True)) if present_col else F.lit(True)
     return turns.select(key, "conv_id", "turn", said("role"), said("text"), present.alias("present"))
 
 
@@ -280,9 +280,9 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("turn"), "role", "text")
 
 
-def repair(turns: DataFrame, long: int = LONG, block: int = BLOCK) -> DataFrame:
-    """conv_id and DIGEST of every conversation of turns (conv_id, turn, role, text; rows with present = false only name theirs)."""
-    rows = _read(turns)
+def repair(turns: DataFrame, present_col: str | None = None, long: int = LONG, block: int = BLOCK) -> DataFrame:
+    """conv_id and DIGEST of every conversation of turns (conv_id, turn, role, text); rows whose present_col is false only name theirs."""
+    rows = _read(turns, present_col)
     conv = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -309,9 +309,9 @@ def _typed(run: Callable, rows: DataFrame, columns: str) -> Callable:
     return typed
 
 
-def repaired_turns(turns: DataFrame, long: int = LONG, block: int = BLOCK) -> DataFrame:
+def repaired_turns(turns: DataFrame, present_col: str | None = None, long: int = LONG, block: int = BLOCK) -> DataFrame:
     """conv_id, seat, role, text of the repaired rows; seats ascend in a conversation, with gaps in a long one."""
-    rows = _read(turns)
+    rows = _read(turns, present_col)
     columns = "seat long, role string, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -348,6 +348,7 @@ def _first_letter_class() -> Column:
 def _long(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """(totals of each conversation, its repaired rows) of long conversations."""
     spark = rows.sparkSession
+    of_ways, of_choice, of_edits = map(_arrow, (WAYS, CHOICE, EDITS))
     width = jobs.shuffle_width(spark, rows.count(), 100_000)
     placed = rows.filter("present").drop("present").repartitionByRange(width, "key", F.asc_nulls_first("turn"), "role").sortWithinPartitions("key", F.asc_nulls_first("turn"), "role", "text")
     # A partition's ids are consecutive from a multiple of 2**33, so no block lies in two.
@@ -365,7 +366,7 @@ def _long(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
         for (key, number), rows in _blocks(batches, ("key", "block")):
             codes = bytes(code for _, code in rows)
             costs, ranks = block_ways(codes)
-            yield pa.RecordBatch.from_pylist([{"key": key, "block": number, "costs": costs, "ranks": ranks, "first": codes[0] & 3, "last": codes[-1] & 3, "illegal": _illegal(codes)}], _arrow(WAYS))
+            yield pa.RecordBatch.from_pylist([{"key": key, "block": number, "costs": costs, "ranks": ranks, "first": codes[0] & 3, "last": codes[-1] & 3, "illegal": _illegal(codes)}], of_ways)
 
     tables = by_block(slim.select("key", "block", "at", "code")).mapInArrow(ways, WAYS)
 
@@ -373,7 +374,7 @@ def _long(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
         for (key,), blocks in _blocks(batches, ("key",)):
             cost, states, closing = choose([(costs, ranks) for _, costs, ranks, *_ in blocks])
             illegal = sum(b[-1] for b in blocks) + sum((a[-2], b[-3]) not in LEGAL for a, b in zip(blocks, blocks[1:]))
-            yield pa.RecordBatch.from_pylist([{"key": key, "block": b[0], "entry": states[i], "leave": states[i + 1], "cost": cost, "illegal": illegal, "closing": closing if i + 1 == len(blocks) else None} for i, b in enumerate(blocks)], _arrow(CHOICE))
+            yield pa.RecordBatch.from_pylist([{"key": key, "block": b[0], "entry": states[i], "leave": states[i + 1], "cost": cost, "illegal": illegal, "closing": closing if i + 1 == len(blocks) else None} for i, b in enumerate(blocks)], of_choice)
 
     choice = jobs.materialize(tables.repartition("key").sortWithinPartitions("key", "block").mapInArrow(chosen, CHOICE), "choice")
 
@@ -388,7 +389,7 @@ def _long(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
                     state = FOLLOWS[state]
                     more.append(state)
                 out.append({"key": key, "block": number, "at": None, "before": more, "how": 0, "edits": closing})
-            yield pa.RecordBatch.from_pylist(out, _arrow(EDITS))
+            yield pa.RecordBatch.from_pylist(out, of_edits)
 
     own = slim.join(choice.select("key", "block", "entry", "leave", F.coalesce("closing", F.lit("")).alias("closing")), ["key", "block"])
     own = own.select("key", "block", "entry", "leave", "closing", "at", "code").repartition("key", "block").sortWithinPartitions("key", "block", "at")

@@ -2,9 +2,10 @@
 
 Rows are ranked within their source in a seeded shuffle (a hash of id and text). A row's
 fractional rank is (rank + phase) / rows of its source, the phase being a hash of the source
-that keeps small sources from meeting at one place. Sorted by fractional rank, any run of
-rows holds every source in proportion, give or take a row or two; so the order is
-cut into shards whose row counts differ by one at most.
+that keeps small sources from meeting at one place. Sorted by fractional rank, any stretch of
+fractions holds every source in proportion, give or take a row; so the order is
+cut into shards whose row counts differ by one at most. (Very many sources of a row or two are
+spread at random, so they shift the cuts a little, by about the root of their number.)
 
 No sort of a whole source or table: hashes and fractions are spread evenly by construction,
 so their leading bits are the buckets in which windows number rows; counts by

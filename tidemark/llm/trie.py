@@ -10,7 +10,7 @@ the tree of paths: paths are sorted by descending level of their tops (children
 been sent to it from a priority queue, adds its own and sends the total on to the path that it hangs on. Light paths
 (at most `light` members) go in shards of whole subtrees below a heavy path; each shard is one queue, which
 spills runs when it is full. What shard roots have is summed by the heavy path above and
-a last queue takes the heavy ones: with light = max(LIGHT, turns / MAX_HEAVY) they are MAX_HEAVY at most, as each one
+a last queue takes the heavy ones: with light = max(LIGHT, prefixes / MAX_HEAVY) they are MAX_HEAVY at most, as each one
 has more than `light` members with a turn of their own at its level. Inside a path totals are sums from its end
 upwards, again windows over blocks.
 
@@ -40,7 +40,7 @@ from tidemark.llm import jobs
 #: A rebuilt conversation begins with up to SHARED - 1 turns of the first of its FAMILY.
 FAMILY, SHARED = 100, 6
 BLOCK, CHUNK = 1024, 256
-LIGHT, MAX_HEAVY = 20_000, 1_000_000
+LIGHT, MAX_HEAVY = 256, 1_000_000
 QUEUED = 1 << 18
 
 NODE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")

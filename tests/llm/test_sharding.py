@@ -36,7 +36,7 @@ def test_law_and_mixture(docs):
 def test_few_sources(docs):
     rows = sharding.interleave(docs.filter("doc_id < 2000 AND doc_id > 5")).filter("source = 'hot' OR source LIKE 's%'").collect()
     of, held = Counter(r.source for r in rows), Counter((r.shard, r.source) for r in rows)
-    assert all(abs(held[shard, source] - n / 24) <= 2 + 4 * n / len(rows) for source, n in of.items() for shard in range(24))
+    assert all(abs(held[shard, source] - n / 24) <= 2 + len(of) ** 0.5 * n / len(rows) for source, n in of.items() for shard in range(24))
 
 
 def test_buckets_change_nothing(docs, monkeypatch):

@@ -120,6 +120,50 @@ def test_collisions_against_a_model(spark):
     assert {r["from"]: r.final for r in plan.collisions(spark.createDataFrame(rows, "`from` string, `to` string")).collect()} == model_of_collisions(rows)
 
 
+@pytest.mark.parametrize("ends", [[".jpg"], [""], ["", ".jpg", ".", ".x (2).jpg"]])
+def test_free_names_of_nested_numbers(spark, ends):
+    """Numbers asked for and given, with gaps, nested ones, leading zeros and no extension."""
+    rng = random.Random(8)
+    tails = ["", "", "", " (2)", " (3)", " (5)", " (02)", " (1)", " (11)", " (2) (2)", " (2) (3)", " (3) (2)", " (2) (2) (2)", " (999999999999999999999)"]
+    rows = [(f"s{i:04}", f"{rng.choice(['d/', 'd/e (2)/', ''])}{rng.choice(['a', 'a', '.b', ' '])}{rng.choice(tails)}{rng.choice(ends)}") for i in range(700)]
+    found = plan.collisions(spark.createDataFrame(rows, "`from` string, `to` string").repartition(5))
+    given = {r["from"]: r.final for r in found.collect()}
+    taken, want = set(), {}
+    for source, target in sorted(rows, key=lambda r: (r[1], r[0])):
+        head, slash, base = target.rpartition("/")
+        m = re.match(r"(?s)(.+)(\.[^.]*)$", base)
+        stem, ext = m.groups() if m else (base, "")
+        name, n = target, 2
+        while name in taken:
+            name, n = f"{head}{slash}{stem} ({n}){ext}", n + 1
+        taken.add(name)
+        want[source] = name
+    assert given == want and len(set(given.values())) == len(rows)
+
+
+def test_one_name_claimed_by_most(spark):
+    rows = [(f"s{i:05}", "d/x.jpg" if i % 3 else f"d/x ({i}).jpg") for i in range(3000)]
+    found = {r["from"]: r.final for r in plan.collisions(spark.createDataFrame(rows, "`from` string, `to` string").repartition(5)).collect()}
+    free = (n for n in range(2, 9000) if n % 3 or n >= 3000)
+    want = {s: t for s, t in rows if t != "d/x.jpg"} | {s: "d/x.jpg" if i == 0 else f"d/x ({next(free)}).jpg" for i, s in enumerate(sorted(s for s, t in rows if t == "d/x.jpg"))}
+    assert found == want
+
+
+def test_a_photo_is_no_neighbour_of_its_own(spark):
+    """The only photo of a model finds no family by it; with one more it does, and its own year doesn't count."""
+    from tidemark.operators import pairing
+
+    facts = [("d/a.jpg", "X1", 100, 60), ("d/b.jpg", "X2", 100, 60), ("d/c.jpg", "X2", 10, 20), ("d/e.jpg", None, 1, 60), *[(f"d/n{i}.jpg", "X3", 50, 60) for i in range(3)]]
+    years = {"d/a.jpg": 2001, "d/b.jpg": 2002, "d/c.jpg": 2003, **{f"d/n{i}.jpg": 2010 + i for i in range(3)}}
+    census = corpus.camera_census(spark.createDataFrame([(p, y, "dirname", "medium") for p, y in years.items()], "path string, year int, winner string, confidence string"), spark.createDataFrame(facts, "path string, model string, width int, height int"))
+    queries = spark.createDataFrame([(p, "d", m, w, h, years.get(p) if m else None) for p, m, w, h in facts], "path string, dir string, model string, width int, height int, own_year int")
+    found = {r.path: (r.model, r.matched_by, r.first_year, r.last_year, r.neighbours) for r in pairing.family_match(queries, census).collect()}
+    assert found == {
+        "d/a.jpg": ("X3", "geometry", 2010, 2012, 3), "d/b.jpg": ("X2", "exif", 2003, 2003, 1), "d/c.jpg": ("X2", "exif", 2002, 2002, 1), "d/e.jpg": ("X3", "geometry", 2010, 2012, 3),
+        "d/n0.jpg": ("X3", "exif", 2011, 2012, 2), "d/n1.jpg": ("X3", "exif", 2010, 2012, 2), "d/n2.jpg": ("X3", "exif", 2010, 2011, 2),
+    }
+
+
 def wall(y, m=6, d=1, h=12):
     return (y, m, d, h, 0, 0)
 

@@ -90,8 +90,9 @@ def annotate(assets: DataFrame, now_year: int, raw: DataFrame | None = None, roo
     if facts is not None:
         census = corpus.camera_census(first, facts)
         saved = claims.filter("kind = 'editor-save'").select("path", F.col("wall.year").alias("latest"))
-        queries = first.filter("status <> 'dated'").select("path").join(saved, "path").join(facts.select("path", "model", "width", "height"), "path").withColumn("dir", paths.dir_of(F.col("path")))
-        matched = pairing.family_match(queries.select("path", "dir", "model", "width", "height"), census).join(queries.select("path", "dir", "latest"), "path").join(census, ["dir", "model"])
+        own_year = F.when(verdict.is_confident() & F.col("model").isNotNull(), F.col("year")).alias("own_year")
+        queries = first.filter("status <> 'dated'").select("path", "year", "winner", "confidence").join(saved, "path").join(facts.select("path", "model", "width", "height"), "path").withColumn("dir", paths.dir_of(F.col("path")))
+        matched = pairing.family_match(queries.select("path", "dir", "model", "width", "height", own_year), census).join(queries.select("path", "latest"), "path")
         sure = matched.filter("first_year = last_year AND first_year <= latest").withColumn("y", F.col("first_year")).join(unknown.select("path"), "path", "left_semi")
         extra.append(evidence.exploded(sure, year_claim("family", F.concat_ws(" ", F.col("neighbours").cast("string"), "model")), 11))
     if facts is None or root is None:

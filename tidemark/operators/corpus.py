@@ -39,6 +39,19 @@ def cohorts(verdicts: DataFrame) -> DataFrame:
 
 
 def camera_census(verdicts: DataFrame, facts: DataFrame) -> DataFrame:
-    """(dir, model, first_year, last_year, neighbours, sides): the cameras of each directory's confident verdicts."""
+    """(dir, model, first_year, last_year, neighbours, sides, years): the cameras of each directory's confident verdicts.
+
+    years: (year, n) in ascending order, as many as there are plausible years at most; with them a photo that is itself
+    counted can be left out again (`without`).
+    """
     rows = facts.filter("model IS NOT NULL").join(verdicts.filter(is_confident()).select("path", "year"), "path").withColumn("dir", paths.dir_of(F.col("path")))
-    return rows.groupBy("dir", "model").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("*").alias("neighbours"), F.array_sort(F.array_compact(F.array_union(F.collect_set("width"), F.collect_set("height")))).alias("sides"))
+    sides = rows.groupBy("dir", "model").agg(F.array_sort(F.array_compact(F.array_union(F.collect_set("width"), F.collect_set("height")))).alias("sides"))
+    years = rows.groupBy("dir", "model", "year").agg(F.count("*").alias("n")).groupBy("dir", "model").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("n").alias("neighbours"), F.array_sort(F.collect_list(F.struct("year", "n"))).alias("years"))
+    return years.join(sides, ["dir", "model"]).select("dir", "model", "first_year", "last_year", "neighbours", "sides", "years")
+
+
+def without(census: DataFrame, own_year: str) -> DataFrame:
+    """Rows of a census with first_year, last_year and neighbours as they are without one photo of own_year (null: it isn't counted)."""
+    left = F.filter("years", lambda y: (y["year"] != F.col(own_year)) | F.col(own_year).isNull() | (y["n"] > 1))
+    own = F.col(own_year).isNotNull()
+    return census.withColumn("years", left).withColumns({"first_year": F.array_min("years")["year"], "last_year": F.array_max("years")["year"], "neighbours": F.col("neighbours") - own.cast("long")})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import paths
 from tidemark.functions import values as V
+from tidemark.operators import corpus
 
 
 def pair_sidecars(assets: DataFrame) -> DataFrame:
@@ -33,15 +34,19 @@ def originals_of(facts: DataFrame, originals: DataFrame) -> DataFrame:
 
 
 def family_match(queries: DataFrame, census: DataFrame, least: int = V.FAMILY_NEIGHBOURS) -> DataFrame:
-    """(path, model, matched_by): the query's own model if the directory knows it, else the only model of enough neighbours with a side in common.
+    """(path, model, matched_by, first_year, last_year, neighbours): the query's own model if others of the directory have it, else the only model of enough neighbours with a side in common.
 
-    queries: path, dir, model, width, height.
+    queries: path, dir, model, width, height and, where the query itself is counted in the census, own_year: a
+    photo is no neighbour of its own. Only its own model's row counts it, so the search by sides leaves that model alone.
     """
-    own = queries.join(census.select("dir", "model"), ["dir", "model"], "left_semi").select("path", "model", F.lit("exif").alias("matched_by"))
+    if "own_year" not in queries.columns:
+        queries = queries.withColumn("own_year", F.lit(None).cast("int"))
+    years = ["first_year", "last_year", "neighbours"]
+    own = corpus.without(queries.select("path", "dir", "model", "own_year").join(census, ["dir", "model"]), "own_year").filter("neighbours > 0").select("path", "model", F.lit("exif").alias("matched_by"), *years)
     sides = census.filter(F.col("neighbours") >= least).select("dir", F.col("model").alias("found"), F.explode("sides").alias("side"))
-    rest = queries.join(own.select("path"), "path", "left_anti").select("path", "dir", F.explode(F.array_distinct(F.array_compact(F.array("width", "height")))).alias("side"))
-    hits = rest.join(sides, ["dir", "side"]).groupBy("path").agg(F.count_distinct("found").alias("models"), F.min("found").alias("model")).filter("models = 1")
-    return own.unionByName(hits.select("path", "model", F.lit("geometry").alias("matched_by")))
+    rest = queries.join(own.select("path"), "path", "left_anti").select("path", "dir", "model", F.explode(F.array_distinct(F.array_compact(F.array("width", "height")))).alias("side"))
+    hits = rest.join(sides, ["dir", "side"]).filter(~F.col("found").eqNullSafe(F.col("model"))).groupBy("path", "dir").agg(F.count_distinct("found").alias("models"), F.min("found").alias("model")).filter("models = 1")
+    return own.unionByName(hits.join(census, ["dir", "model"]).select("path", "model", F.lit("geometry").alias("matched_by"), *years))
 
 
 def widening_pool(queries: DataFrame, candidates: DataFrame, levels: list[str], least: int = 3) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Bit-vector search: distances, the best candidates of each query, and a decision by margin."""
+"""Bit vectors: distances and a decision by margin (the search itself is in nearest.py)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOP, MAX_DISTANCE, MIN_MARGIN, MIN_COMPARED = 5, 128, 96, 3
@@ -21,24 +21,6 @@ def sign_bits(vector: Column, start: int = 0, size: int = 64) -> Column:
     return F.array(low, high)
 
 
-def top_candidates(pairs: DataFrame, query: str, candidate: str, distance: str, n: int = TOP) -> DataFrame:
-    """The n nearest candidates of each query, ties by candidate; adds `place` and `compared`."""
-    sizes = pairs.groupBy(query).agg(F.count("*").alias("compared"))
-    # a filter on nothing but a rank is applied before the shuffle as well: each task sends n rows a query
-    top = pairs.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(distance, candidate))).filter(F.col("place") <= n)
-    return top.join(sizes, query)
-
-
-def with_rival(pairs: DataFrame, query: str, candidate: str, distance: str, day: str, n: int = TOP) -> DataFrame:
-    """The n nearest and the nearest one of another day than the best, with the number of all that were `compared`."""
-    top = top_candidates(pairs, query, candidate, distance, n)
-    best = top.filter("place = 1").select(query, F.col(day).alias("best_day"), "compared")
-    nearest = pairs.groupBy(query, day).agg(F.min(F.struct(distance, candidate)).alias("m")).join(best, query).filter(F.col(day) != F.col("best_day"))
-    rival = nearest.groupBy(query, "compared").agg(F.min(F.struct(f"m.{distance}", f"m.{candidate}", day)).alias("r"))
-    rival = rival.select(query, F.col(f"r.{candidate}").alias(candidate), F.col(f"r.{distance}").alias(distance), F.col(f"r.{day}").alias(day), "compared")
-    return top.select(query, candidate, distance, day, "compared").unionByName(rival).distinct()
-
-
 def decide_by_margin(scored: DataFrame, query: str, candidate: str, distance: str, day: str, compared: str = "compared", max_distance: int = MAX_DISTANCE, min_margin: int = MIN_MARGIN, min_compared: int = MIN_COMPARED) -> DataFrame:
     """(query, best, day, distance, margin, decisive): best by (distance, candidate), margin to the best of another day (null: no rival)."""
     best = scored.groupBy(query).agg(F.min(F.struct(distance, candidate, day)).alias("b"), F.max(compared).alias("compared"))

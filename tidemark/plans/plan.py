@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths
 from tidemark.functions import values as V
 from tidemark.operators import dedupe
-from tidemark.plans import buckets
+from tidemark.plans import buckets, names
 from tidemark.sources.scratch import written
 
 
@@ -47,44 +45,8 @@ def held_by(assets: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def collisions(moves: DataFrame, source: str = "from", target: str = "to") -> DataFrame:
-    """Adds `final`: later claimants of a target (by source) get ` (n)` with the first free n from 2 on.
-
-    Targets and all their numbered forms fall into one small family (directory and unnumbered name); names of a
-    family are given one after the other, in the order of (target, source), because a given name can take
-    a later natural one. A family is as large as the claimants of one name. Families of one row don't reach Python.
-    """
-    stem = F.regexp_replace(paths.stem_of(paths.base_of(F.col(target))), r"( \([0-9]+\))+$", "")
-    ext = F.regexp_extract(paths.base_of(F.col(target)), r"(?s)^.+(\.[^.]*)$", 1)
-    family = F.concat_ws("\u0000", paths.dir_of(F.col(target)), stem, ext)
-    rows = moves.withColumn("_family", family)
-    shared = rows.groupBy("_family").agg(F.count("*").alias("_n"), F.count_distinct(target).alias("_targets"))
-    rows = rows.join(shared, "_family")
-    alone = rows.filter("_n = _targets AND _n = 1").withColumn("final", F.col(target))
-    # without any numbered natural name in the family, the place among the claimants is the number
-    simple = rows.filter("_n > 1 AND _targets = 1")
-    simple = dedupe.ranked(simple, target, [source], "_place")
-    simple = simple.withColumn("final", F.when(F.col("_place") == 1, F.col(target)).otherwise(paths.suffixed(F.col(target), F.col("_place")))).drop("_place")
-    rest = rows.filter("_n > 1 AND _targets > 1").withColumn("final", F.lit(None).cast("string"))
-
-    def give(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([target, source], kind="stable")
-        taken: set[str] = set()
-        next_number: dict[str, int] = {}
-        names = []
-        for wanted in group[target]:
-            name, n = wanted, next_number.get(wanted, 2)
-            head, slash, base = wanted.rpartition("/")
-            parts = re.match(r"(?s)^(.+)(\.[^.]*)$", base)
-            root, end = parts.groups() if parts else (base, "")
-            while name in taken:
-                name, n = f"{head}{slash}{root} ({n}){end}", n + 1
-            next_number[wanted] = n
-            taken.add(name)
-            names.append(name)
-        return group.assign(final=names)
-
-    rest = rest.groupBy("_family").applyInPandas(give, rest.schema)
-    return alone.unionByName(simple).unionByName(rest).drop("_family", "_n", "_targets")
+    """Adds `final`: later claimants of a target (by source) get ` (n)` with the first free n from 2 on."""
+    return names.free_names(moves, source, target)
 
 
 def emptied_dirs(dirs: DataFrame, survivors: DataFrame) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
-from tidemark.operators import corpus, dedupe, pairing, similarity
+from tidemark.operators import corpus, dedupe, nearest, pairing, similarity
 from tidemark.registry import query, table
 
 _CENSUS_SQL = """
@@ -52,6 +49,25 @@ def family_match(spark, sf_dir):
     return found.select(F.substring_index("path", "/", -1).cast("long").alias("k"), "model", "matched_by")
 
 
+@query("""
+WITH p AS (SELECT c_nationkey || '/' || p_partkey AS path, c_nationkey AS dir, CASE WHEN p_partkey % 4 > 0 THEN p_brand || p_size % 6 END AS model, p_size AS w, year(o_orderdate) AS year, p_partkey % 5 > 0 AS sure
+  FROM part JOIN orders ON p_partkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+others AS (SELECT q.path, c.model, count(*) AS neighbours, min(c.year) AS first_year, max(c.year) AS last_year, q.model IS NOT DISTINCT FROM c.model AS own, bool_or(c.w IN (q.w, q.w + 7) OR c.w + 7 IN (q.w, q.w + 7)) AS fits
+  FROM p q JOIN p c ON c.dir = q.dir AND c.path <> q.path AND c.sure AND c.model IS NOT NULL GROUP BY q.path, q.model, c.model),
+named AS (SELECT path, model, neighbours, first_year, last_year, 'exif' AS matched_by FROM others WHERE own),
+shaped AS (SELECT path, any_value(model) AS model, any_value(neighbours) AS neighbours, any_value(first_year) AS first_year, any_value(last_year) AS last_year, 'geometry' AS matched_by FROM others
+  WHERE neighbours >= 3 AND fits AND path NOT IN (SELECT path FROM named) GROUP BY path HAVING count(*) = 1)
+SELECT path, model, matched_by, neighbours, first_year::INT AS first_year, last_year::INT AS last_year FROM (SELECT * FROM named UNION ALL SELECT * FROM shaped)
+""")
+def family_of_others(spark, sf_dir):
+    """Every photo's camera as the others of its directory know it, although four fifths of the photos are counted themselves."""
+    photos = _photos(spark, sf_dir).withColumn("model", F.when(F.col("k") % 4 > 0, F.concat("model", (F.col("width") % 6).cast("string")))).withColumn("sure", F.col("k") % 5 > 0)
+    verdicts = photos.filter("sure").select("path", "year", F.lit("dirname").alias("winner"), F.lit("medium").alias("confidence"))
+    census = corpus.camera_census(verdicts, photos.select("path", "model", "width", "height"))
+    queries = photos.select("path", "dir", "model", "width", "height", F.when(F.col("sure") & F.col("model").isNotNull(), F.col("year")).alias("own_year"))
+    return pairing.family_match(queries, census).select("path", "model", "matched_by", "neighbours", "first_year", "last_year")
+
+
 _ASSETS_SQL = """
 WITH media AS (SELECT 'd' || (p_partkey % 40) || '/' || CASE WHEN p_partkey % 3 = 0 THEN 'M' ELSE 'm' END || (p_partkey // 2) || CASE p_partkey % 2 WHEN 0 THEN '.jpg' ELSE '.avi' END AS path FROM part WHERE p_size > 10),
 side AS (SELECT 'd' || (p_partkey % 40) || '/m' || (p_partkey // 2) || CASE p_partkey % 3 WHEN 0 THEN '.jpg.xmp' ELSE '.THM' END AS path FROM part WHERE p_size % 2 = 0),
@@ -142,29 +158,22 @@ def keeper_reason(spark, sf_dir):
     return dedupe.duplicate_groups(rows.select("path", "kind", "sha256"), rows.select("path", "status", "assumed")).select("sha256", "reason")
 
 
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 4096
 _BITS_SQL = """
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
 pairs AS (SELECT q.vec_id AS query, c.vec_id AS candidate, c.label AS day,
   list_sum(list_transform(list_zip(q.b, c.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INT AS distance FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)"""
 
 
-def _distances(spark, sf_dir):
-    """Every vector whose id is divisible by 50 as a query against all others: a stated query set, QUERY_BLOCK of them broadcast at once."""
+def _nearest(spark, sf_dir, rival=False):
+    """Every vector whose id is divisible by 50 as a query (the stated query set) against all others."""
     bits = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("day"), similarity.sign_bits(F.col("embedding")).alias("bits"))
-    queries = bits.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("bits").alias("query_bits"))
-    rest = bits.select(F.col("vec_id").alias("candidate"), "day", "bits")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = [queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k) for k in range(blocks)]
-    pairs = [rest.join(F.broadcast(part), F.col("candidate") != F.col("query")) for part in parts]
-    return reduce(DataFrame.unionByName, pairs).select("query", "candidate", "day", similarity.hamming(F.col("query_bits"), F.col("bits")).alias("distance"))
+    return nearest.nearest(bits.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "bits"), bits.withColumnRenamed("vec_id", "candidate"), similarity.TOP, words=2, bits=32, rival=rival)
 
 
 @query(_BITS_SQL + " SELECT query, candidate, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, candidate) AS place FROM pairs) WHERE place <= 5")
 def coarse_topk(spark, sf_dir):
     """The five nearest vectors of each query by the signs of their elements."""
-    return similarity.top_candidates(_distances(spark, sf_dir), "query", "candidate", "distance").select("query", "candidate", "distance", F.col("place").cast("long").alias("place"))
+    return _nearest(spark, sf_dir).select("query", "candidate", "distance", F.col("place").cast("long").alias("place"))
 
 
 @query(_BITS_SQL + """
@@ -176,8 +185,7 @@ SELECT query, best, day, distance, margin, compared >= 3 AND distance <= 24 AND
 """)
 def margin_decide(spark, sf_dir):
     """The nearest vector, decisive if its margin to the best one of another label is large enough (limits rescaled to 64 bits)."""
-    kept = similarity.with_rival(_distances(spark, sf_dir), "query", "candidate", "distance", "day")
-    found = similarity.decide_by_margin(kept, "query", "candidate", "distance", "day", max_distance=24, min_margin=1)
+    found = similarity.decide_by_margin(_nearest(spark, sf_dir, rival=True), "query", "candidate", "distance", "day", max_distance=24, min_margin=1)
     return found.select("query", "best", "day", "distance", "margin", "decisive")
 
 

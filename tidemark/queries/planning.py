@@ -113,6 +113,26 @@ def collisions(spark, sf_dir):
     return plan.collisions(moves, "source", "target")
 
 
+@query("""
+WITH c AS (SELECT 'f' || lpad(p_partkey::VARCHAR, 9, '0') AS source, p_brand || '/' || p_size % 5 AS root, CASE p_partkey % 3 WHEN 0 THEN 1 + p_partkey % 41 END AS asked, CASE WHEN p_size % 2 = 0 THEN '.jpg' ELSE '' END AS ext FROM part),
+n AS (SELECT source, root, ext, CASE WHEN asked > 1 THEN asked END AS k, root || CASE WHEN asked > 1 THEN ' (' || asked || ')' ELSE '' END AS stem FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY stem, ext ORDER BY source) - 1 AS place FROM n),
+t AS (SELECT root, ext, count(*) FILTER (WHERE k IS NULL) AS claimants, list(DISTINCT k) FILTER (WHERE k IS NOT NULL) AS taken FROM n GROUP BY root, ext),
+f AS (SELECT r.*, CASE
+    WHEN k IS NOT NULL THEN CASE WHEN r.ext = '' AND k <= claimants THEN place + 2 WHEN place > 0 THEN place + 1 END
+    WHEN place > 0 THEN CASE WHEN r.ext = '' THEN place + 1 ELSE list_filter(range(2, claimants + 50), lambda x: NOT list_contains(coalesce(taken, []), x))[place] END
+  END AS number FROM r JOIN t ON r.root = t.root AND r.ext = t.ext)
+SELECT source, stem || ext AS target, stem || CASE WHEN number IS NULL THEN '' ELSE ' (' || number || ')' END || ext AS final FROM f
+""")
+def collision_gaps(spark, sf_dir):
+    """Names asked for with and without numbers and extensions: the first free number is a gap between those that others ask for."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    asked = F.when(k % 3 == 0, 1 + k % 41)
+    stem = F.concat("p_brand", F.lit("/"), (F.col("p_size") % 5).cast("string"), F.when(asked > 1, F.concat(F.lit(" ("), asked.cast("string"), F.lit(")"))).otherwise(""))
+    moves = part.select(F.concat(F.lit("f"), F.lpad(k.cast("string"), 9, "0")).alias("source"), F.concat(stem, F.when(F.col("p_size") % 2 == 0, ".jpg").otherwise("")).alias("target"))
+    return plan.collisions(moves, "source", "target")
+
+
 @query("""
 WITH p AS (SELECT 'd' || (page_id % 50) || '/e' || (page_id % 7) || '/f' || page_id % 200 AS dir, page_id FROM pages),
 dirs AS (SELECT dir FROM p UNION SELECT split_part(dir, '/', 1) FROM p UNION SELECT split_part(dir, '/', 1) || '/' || split_part(dir, '/', 2) FROM p),

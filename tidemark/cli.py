@@ -18,6 +18,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--dry-run", action="store_true")
     parser.add_argument("--allow-no-snapshot", action="store_true")
     parser.add_argument("--no-pixels", action="store_true", help="don't look for the originals of saved pictures by their pixels")
+    parser.add_argument("--no-cache", action="store_true", help="read every file, and leave the cache of the last scan alone")
     said = parser.parse_args(args)
     if not Path(said.root).is_dir():
         print(f"{said.root} is no directory", file=sys.stderr)
@@ -26,8 +27,9 @@ def main(args: list[str] | None = None) -> int:
 
     from tidemark import engine
     from tidemark.plans import reports
-    from tidemark.sources import library, metadata, texts
+    from tidemark.sources import cache, library, metadata, texts
     from tidemark.sources.inventory import RUNS_DIR
+    from tidemark.sources.scratch import written
 
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     tell = lambda lines: [print(line) for line in lines]
@@ -46,7 +48,11 @@ def main(args: list[str] | None = None) -> int:
     if said.command == "apply" and not said.dry_run and open_run and said.run_id != open_run:
         tell(reports.unfinished_warning(library.read_runs(spark, said.root).filter("NOT finished AND NOT dry_run").orderBy("started_at", "run_id")))
         return 3
-    found = engine.scan(spark, said.root)
+    cached = None if said.no_cache else cache.load(spark, cache.path_of(said.root))
+    found = engine.scan(spark, said.root, cached)
+    if not said.no_cache:
+        found.assets = written(found.assets, "assets")  # the cache that it may be read from is replaced
+        cache.save(found.assets, cache.path_of(said.root))
     raw = metadata.read_raw(found.assets, said.root)
     verdicts = engine.annotate(found.assets, datetime.now().year, raw, None if said.no_pixels else said.root)
     if said.command == "scan":
@@ -58,7 +64,7 @@ def main(args: list[str] | None = None) -> int:
         tell(plan.operations.toJSON().toLocalIterator() if said.json else reports.plan_report(plan, said.root))
         library.save_decisions(spark, said.root, plan.suspicious)
         return 0
-    done = engine.apply(said.root, plan, said.dry_run, not said.allow_no_snapshot, said.run_id)
+    done = engine.apply(said.root, plan, said.dry_run, not said.allow_no_snapshot, said.run_id, found)
     if not said.dry_run and done["moved"]:
         library.record_run(spark, said.root, done["run_id"], done["moved"])
     records = texts.read_journals(spark, f"{said.root}/{RUNS_DIR}/{done['run_id']}/journal.jsonl").filter("state = 'ok'")

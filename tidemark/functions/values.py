@@ -83,3 +83,6 @@ KEEPER_REASONS = (
 KEEPER_REASON_LINK = "; далее — "
 SORT_ANSWERS = ("сортировать", "сортируй", "разобрать", "да", "sort", "yes", "+")
 AS_IS_ANSWERS = ("как есть", "какесть", "оставить", "оставь", "не трогать", "нет", "asis", "as-is", "keep", "no", "-")
+
+#: What the library itself writes at a root; no scan lists it.
+RUNS_DIR, RECEIPT = ".tidemark-runs", "TIDEMARK.txt"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import paths
 from tidemark.functions import values as V
-from tidemark.operators import dedupe
+from tidemark.operators import dedupe, tree
 from tidemark.plans import buckets, names
 from tidemark.sources.scratch import written
 
@@ -39,9 +39,11 @@ def scattered(suspicious: DataFrame, bucketed: DataFrame) -> DataFrame:
 
 
 def held_by(assets: DataFrame, held: DataFrame) -> DataFrame:
-    """(path, dir): the held directory nearest to the root above each asset. Ancestors are exploded, so it is an equi-join."""
-    up = assets.select("path", F.posexplode(paths.ancestors(F.col("path"))).alias("level", "dir"))
-    return up.join(held.select("dir"), "dir", "left_semi").groupBy("path").agg(F.min_by("dir", "level").alias("dir"))
+    """(path, dir): the held directory nearest to the root above each asset. Found once for each directory, by an equi-join with its ancestors."""
+    rows = assets.select("path", paths.dir_of(F.col("path")).alias("_own"))
+    up = rows.select("_own").distinct().select("_own", F.posexplode(paths.ancestors(F.concat("_own", F.lit("/")))).alias("level", "dir"))
+    first = up.join(held.select("dir"), "dir", "left_semi").groupBy("_own").agg(F.min_by("dir", "level").alias("dir"))
+    return rows.join(first, "_own").select("path", "dir")
 
 
 def collisions(moves: DataFrame, source: str = "from", target: str = "to") -> DataFrame:
@@ -51,7 +53,8 @@ def collisions(moves: DataFrame, source: str = "from", target: str = "to") -> Da
 
 def emptied_dirs(dirs: DataFrame, survivors: DataFrame) -> DataFrame:
     """(dir, level): directories with nothing left below, deepest first. survivors: path (stays, targets, in place)."""
-    kept = survivors.select(F.explode(paths.ancestors(F.col("path"))).alias("dir")).select(paths.normalized(F.col("dir")).alias("key")).distinct()
+    used = tree.roll_up(survivors.select(paths.dir_of(F.col("path")).alias("dir"), F.lit(1).cast("long").alias("files")).filter("dir <> ''"))
+    kept = used.select(paths.normalized(F.col("dir")).alias("key")).distinct()
     rows = dirs.select("dir", paths.normalized(F.col("dir")).alias("key")).filter(F.col("dir") != V.INBOX_DIR)
     return rows.join(kept, "key", "left_anti").select("dir", F.size(F.split("dir", "/")).alias("level")).orderBy(F.desc("level"), F.desc("dir"))
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, paths
 from tidemark.functions.dates import WALL
-from tidemark.plans import buckets, plan
+from tidemark.plans import buckets, conservation, plan
 from tidemark.registry import query, table
-from tidemark.sources import cache
+from tidemark.sources import cache, changes
 from tidemark.streaming import journal
 
 _BUCKET_SQL = """
@@ -222,3 +222,56 @@ def cache_rekey(spark, sf_dir):
     _, old = _snapshots(spark, sf_dir)
     moves = old.filter("size % 7 = 0").select(F.col("path").alias("from"), F.concat(F.lit("moved/"), "path").alias("to"))
     return cache.rekey(old, moves).select("path", "size")
+
+
+_FILES_SQL = """
+WITH old AS (SELECT 'd' || o_custkey % 40 || '/e' || o_custkey % 7 || '/o' || o_orderkey AS path, o_orderkey AS k, 100 + o_orderkey % 9 AS size, md5((o_orderkey % 5000)::VARCHAR) AS sha256 FROM orders WHERE o_orderkey % 19 > 0),
+new AS (
+  SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'moved/' || o_custkey % 3 || '/' ELSE 'd' || o_custkey % 40 || '/e' || o_custkey % 7 || '/' END || 'o' || o_orderkey AS path, o_orderkey AS k,
+         CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 100 + o_orderkey % 9 END AS size, md5((CASE WHEN o_orderkey % 17 = 0 THEN -o_orderkey ELSE o_orderkey % 5000 END)::VARCHAR) AS sha256
+  FROM orders WHERE o_orderkey % 11 > 0)"""
+
+
+def _scans(spark, sf_dir):
+    """Orders as the files of two scans: a nineteenth comes, an eleventh goes, a thirteenth moves, a seventeenth changes; contents repeat."""
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    home = F.concat(F.lit("d"), (F.col("o_custkey") % 40).cast("string"), F.lit("/e"), (F.col("o_custkey") % 7).cast("string"), F.lit("/"))
+    name = F.concat(F.lit("o"), k.cast("string"))
+    said = lambda x: F.md5(x.cast("string"))
+    facts = [F.lit(5.0).alias("mtime_ms"), F.lit("photo").alias("kind"), F.lit("jpeg").alias("format")]
+    old = orders.filter(k % 19 > 0).select(F.concat(home, name).alias("path"), (100 + k % 9).alias("size"), *facts, said(k % 5000).alias("sha256"))
+    other = F.when(k % 13 == 0, F.concat(F.lit("moved/"), (F.col("o_custkey") % 3).cast("string"), F.lit("/"))).otherwise(home)
+    new = orders.filter(k % 11 > 0).select(F.concat(other, name).alias("path"), F.when(k % 17 == 0, 1).otherwise(100 + k % 9).cast("long").alias("size"), *facts, said(F.when(k % 17 == 0, -k).otherwise(k % 5000)).alias("sha256"))
+    return old, new
+
+
+@query(_FILES_SQL + """
+, gone AS (SELECT *, row_number() OVER (PARTITION BY sha256, size ORDER BY path) AS n FROM old WHERE path NOT IN (SELECT path FROM new)),
+added AS (SELECT *, row_number() OVER (PARTITION BY sha256, size ORDER BY path) AS n FROM new WHERE path NOT IN (SELECT path FROM old)),
+pairs AS (SELECT a.path, g.path AS was FROM added a JOIN gone g ON a.sha256 = g.sha256 AND a.size = g.size AND a.n = g.n)
+SELECT path, 'moved' AS change, was FROM pairs UNION ALL SELECT path, 'added', NULL FROM added WHERE path NOT IN (SELECT path FROM pairs)
+UNION ALL SELECT path, 'gone', NULL FROM gone WHERE path NOT IN (SELECT was FROM pairs)
+UNION ALL SELECT o.path, 'changed', NULL FROM old o JOIN new n ON o.path = n.path WHERE o.size <> n.size OR o.sha256 <> n.sha256
+""")
+def scan_changes(spark, sf_dir):
+    """The difference of two scans; equal contents that went and came are moves, in the order of their paths."""
+    return changes.changes(*_scans(spark, sf_dir))
+
+
+@query(_FILES_SQL + """
+, f AS (SELECT *, string_split(path, '/') AS parts FROM new), up AS (SELECT array_to_string(parts[1:i], '/') AS dir, size FROM f, unnest(range(0, len(parts))) t(i))
+SELECT dir, count(*) AS files, sum(size)::BIGINT AS bytes FROM up GROUP BY dir
+""")
+def dir_totals(spark, sf_dir):
+    """Files and bytes below every directory, rolled up level by level."""
+    _, new = _scans(spark, sf_dir)
+    return conservation.fingerprints(new).select("dir", "files", "bytes")
+
+
+@query(_FILES_SQL + """
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'lost' WHEN o.path IS NULL THEN 'new' ELSE 'changed' END AS what
+FROM old o FULL JOIN new n ON o.path = n.path WHERE n.path IS NULL OR o.path IS NULL OR o.size <> n.size OR o.sha256 <> n.sha256
+""")
+def not_conserved(spark, sf_dir):
+    """The files of directories whose fingerprints differ that aren't as they were."""
+    return conservation.not_conserved(*_scans(spark, sf_dir))

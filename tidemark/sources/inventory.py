@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,31 +16,77 @@ from tidemark.functions import values as V
 from tidemark.sources import cache
 from tidemark.sources.scratch import written
 
-RUNS_DIR = ".tidemark-runs"
+RUNS_DIR, RECEIPT = V.RUNS_DIR, V.RECEIPT
 _CHUNK = 1 << 20
 
 
-def list_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files: path, size, mtime_ms; dirs: dir; errors: path, error) below root. Links aren't followed, the runs' folder is left out.
+#: Entries that a task lists before it hands the directories that it has found, but not listed, to others.
+ENTRIES = 10_000
+LISTED = "what string, path string, size long, mtime_ms double, error string"
 
-    The listing is metadata only and is made by the driver; what is read of the files is read by tasks.
+
+def list_tree(spark: SparkSession, root: str, entries: int = ENTRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files: path, size, mtime_ms; dirs: dir; errors: path, error) below root, listed by tasks.
+
+    A table of directories is the frontier: tasks list them and what is below, up to `entries` each, and what they
+    leave is the next frontier. The tree has to be mounted on every worker. Links aren't followed; the runs' folder and the receipt are
+    left out. A directory that can't be listed, a file that can't be asked and a name that isn't text are errors.
     """
-    files, dirs, errors = [], [], []
-    for top, names, found in os.walk(root, onerror=lambda e: errors.append((os.path.relpath(e.filename, root), str(e)))):
-        names[:] = sorted(n for n in names if not (top == root and n == RUNS_DIR) and not os.path.islink(os.path.join(top, n)))
-        dirs += [(os.path.relpath(os.path.join(top, n), root).replace(os.sep, "/"),) for n in names]
-        for name in found:
-            full = os.path.join(top, name)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def tell(what: str, path: str, size: int | None = None, mtime: float | None = None, error: str | None = None) -> bool:
             try:
-                if not os.path.islink(full):
-                    stat = os.stat(full)
-                    files.append((os.path.relpath(full, root).replace(os.sep, "/"), stat.st_size, stat.st_mtime_ns / 1e6))
-            except OSError as error:
-                errors.append((os.path.relpath(full, root), str(error)))
-    return (
-        spark.createDataFrame(files, "path string, size long, mtime_ms double").orderBy("path"), spark.createDataFrame(dirs, "dir string").orderBy("dir"),
-        spark.createDataFrame(errors, "path string, error string"),
-    )
+                path.encode()
+            except UnicodeEncodeError:
+                what, path, size, mtime, error = "error", path.encode("utf-8", "backslashreplace").decode(), None, None, "the name is no text"
+            rows.append((what, path, size, mtime, error))
+            return what != "error"
+
+        for batch in batches:
+            left = [path for path in reversed(batch.column(0).to_pylist())]
+            given = entries
+            while left:
+                top = left.pop()
+                if given <= 0:
+                    tell("open", top)
+                    continue
+                try:
+                    with os.scandir(os.path.join(root, top)) as found:
+                        for entry in found:
+                            path = f"{top}/{entry.name}" if top else entry.name
+                            try:
+                                if entry.is_symlink():
+                                    continue
+                                if entry.is_dir():
+                                    if entry.name != RUNS_DIR and tell("dir", path):
+                                        left.append(path)
+                                elif entry.is_file() and entry.name != RECEIPT:
+                                    stat = entry.stat()
+                                    tell("file", path, stat.st_size, stat.st_mtime_ns / 1e6)
+                            except OSError as error:
+                                tell("error", path, error=str(error))
+                            given -= 1
+                except OSError as error:
+                    tell("error", top or ".", error=str(error))
+                if len(rows) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
+                    rows.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
+
+    names, types = ["what", "path", "size", "mtime_ms", "error"], [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()]
+    frontier, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        levels.append(written(frontier.mapInArrow(listed, LISTED), "listing"))
+        frontier = levels[-1].filter("what = 'open'").select("path")
+        if frontier.isEmpty():
+            break
+        frontier = frontier.repartition(spark.sparkContext.defaultParallelism * 4)
+    rows = reduce(DataFrame.unionByName, levels)
+    of = lambda what, *columns: rows.filter(F.col("what") == what).select(*columns)
+    return of("file", "path", "size", "mtime_ms").orderBy("path"), of("dir", F.col("path").alias("dir")).orderBy("dir"), of("error", "path", "error")
 
 
 def read_heads(files: DataFrame, root: str) -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import values as V
 from tidemark.sources import texts
-from tidemark.sources.inventory import RUNS_DIR
+from tidemark.sources.inventory import RECEIPT, RUNS_DIR
 from tidemark.streaming import journal
 
-RECEIPT, DECISIONS = "TIDEMARK.txt", "decisions.txt"
+DECISIONS = "decisions.txt"
 _TITLE = "Runs in effect in this folder, the latest first. The file goes when the last of them is undone."
 _HELP = (
     "# Folders whose names don't tell what is in them. They are kept aside whole until you decide.",
@@ -129,7 +129,7 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     folder = Path(root) / RUNS_DIR
     empty = spark.createDataFrame([], schemas.JOURNAL)
     records = texts.read_journals(spark, f"{folder}/*/journal.jsonl").filter("state = 'ok'") if any(folder.glob("*/journal.jsonl")) else empty
-    backed = spark.read.schema("run_id string, path string").json(f"{folder}/*/manifest.jsonl") if any(folder.glob("*/manifest.jsonl")) else None
+    backed = spark.read.schema(schemas.MANIFEST).json(f"{folder}/*/manifest.jsonl") if any(folder.glob("*/manifest.jsonl")) else None
     return journal.run_history(records, backed)
 
 

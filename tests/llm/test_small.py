@@ -59,23 +59,22 @@ def test_quality(docs, empty):
         assert (r.n_dup_lines, r.n_repeat_words) == (len(said) - len(set(said)), len(covered))
         assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
         for share, n in zip(r.dup_ngram_shares, quality.NGRAM_SHARES, strict=True):
-            seen, later = set(), set()
-            for j in range(len(words) - n + 1):
-                key = tuple(words[j : j + n])
-                if key in seen:
-                    later |= set(range(j, j + n))
-                seen.add(key)
-            assert share == pytest.approx(sum(len(words[j]) for j in later) / max(1, sum(map(len, words))))
+            grams = [tuple(words[j : j + n]) for j in range(len(words) - n + 1)]
+            twice = {k for k, times in Counter(grams).items() if times > 1}
+            inside = {j + d for j, k in enumerate(grams) if k in twice for d in range(n)}
+            assert share == pytest.approx(sum(len(words[j]) for j in inside) / max(1, sum(map(len, words))))
         lines = Counter(said)
-        chars, again = sum(map(len, said)), sum((n - 1) * len(x) for x, n in lines.items())
-        total = max(1, r.word_chars)
-        bad = any(x > most and x * total >= quality.LEAST_CHARS - 1e-6 for x, most in zip(r.dup_ngram_shares, quality.NGRAM_SHARES.values(), strict=True))
-        bad |= r.n_dup_lines > quality.LINE_SHARE * len(said) and r.n_dup_lines >= quality.LEAST_LINES
-        bad |= again > quality.LINE_CHAR_SHARE * chars and again >= quality.LEAST_CHARS
+        chars, again = sum(map(len, said)), sum(n * len(x) for x, n in lines.items() if n > 1)
+        bad = any(x > most for x, most in zip(r.dup_ngram_shares, quality.NGRAM_SHARES.values(), strict=True))
+        bad |= r.n_dup_lines > quality.LINE_SHARE * len(said) or again > quality.LINE_CHAR_SHARE * chars
         assert r.kept == (not bad and not r.base_failed)
     repeated = next(i for i, t in enumerate(TEXTS) if t and t.startswith("the very same"))
     assert not found[repeated].kept and found[4].kept and found[18].kept
     assert quality.repetition_quality(empty).count() == 0
+    short = docs.sparkSession.createDataFrame([(1, "\n".join([prose(60, 14)] + [prose(61, 9)] * 2 + [prose(62, 26)])), (2, prose(63, 58)), (3, "\n".join([prose(64, 60)] + [prose(65, 3)] * 2))], "doc_id long, text string")
+    assert {i: (r.base_failed, r.kept) for i, r in by_id(quality.repetition_quality(short)).items()} == {1: (False, False), 2: (False, True), 3: (False, True)}  # the method alone decides, whatever the length
+    odd = docs.selectExpr("*", "doc_id AS `a.b`", "text AS `a b`", "1 AS row")
+    assert quality.keep_good(odd).columns == odd.columns and quality.keep_good(odd).count() == sum(r.kept for r in found.values())
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if r.kept}
 

@@ -44,13 +44,3 @@ def copies(assets: DataFrame, groups: DataFrame) -> DataFrame:
     """(path, keeper) of every copy that isn't the keeper."""
     media = assets.filter(F.col("kind").isin(*V.MEDIA_KINDS) & F.col("sha256").isNotNull())
     return media.select("path", "sha256").join(groups.select("sha256", "keeper"), "sha256").filter("path <> keeper").select("path", "keeper")
-
-
-def copy_lists(assets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sha256, copies): the sorted copies of each group, for reports."""
-    media = assets.select("path", "sha256").join(groups.select("sha256", "keeper"), "sha256").filter("path <> keeper")
-    return media.groupBy("sha256").agg(F.array_sort(F.collect_list("path")).alias("copies"))
-
-
-def ranked(rows: DataFrame, key: str, order: list[Column | str], name: str = "place") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))

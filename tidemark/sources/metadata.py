@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import mmap
 import os
 import re
 import struct
@@ -15,90 +14,72 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, paths
 from tidemark.functions import values as V
 from tidemark.operators.evidence import claim
+from tidemark.sources import containers
 
 _TAGS = {0x010F: "make", 0x0110: "model", 0x0131: "software", 0x0132: "modified", 0x9003: "original", 0x0100: "width", 0x0101: "height", 0xA002: "width", 0xA003: "height"}
 RAW = "make string, model string, software string, original string, modified string, width int, height int, document_id string, derived_from string, xmp_modified string, xmp_original string, container_s bigint"
 _NAMES = [x.split()[0] for x in RAW.split(", ")]
-_MOVIE_EPOCH, _BOXES = 2_082_844_800, 128
+_MOVIE_EPOCH, _LONGEST = 2_082_844_800, 1 << 16
 
 
-def _directory(data: bytes, at: int, order: str, found: dict, seen: set[int]) -> None:
-    """One TIFF image file directory and the EXIF directory that it points to."""
-    if at in seen or at + 2 > len(data):
+def _directory(view: containers.View, base: int, at: int, order: str, found: dict, seen: set[int]) -> None:
+    """One TIFF image file directory and the EXIF directory that it points to; offsets count from base."""
+    head = view.at(base + at, 2)
+    if at in seen or len(head) < 2:
         return
     seen.add(at)
-    (count,) = struct.unpack_from(f"{order}H", data, at)
-    for entry in range(at + 2, min(at + 2 + 12 * count, len(data) - 11), 12):
-        tag, kind, n = struct.unpack_from(f"{order}HHI", data, entry)
+    (count,) = struct.unpack(f"{order}H", head)
+    entries = view.at(base + at + 2, 12 * count)
+    for i in range(len(entries) // 12):
+        tag, kind, n = struct.unpack_from(f"{order}HHI", entries, 12 * i)
+        value = entries[12 * i + 8 : 12 * i + 12]
+        (there,) = struct.unpack(f"{order}I", value)
         if tag == 0x8769:
-            _directory(data, struct.unpack_from(f"{order}I", data, entry + 8)[0], order, found, seen)
+            _directory(view, base, there, order, found, seen)
+        elif tag == 0x02BC and kind in (1, 7):
+            found["xmp"] = (base + there, n)
         elif name := _TAGS.get(tag):
             if kind == 2:
-                start = entry + 8 if n <= 4 else struct.unpack_from(f"{order}I", data, entry + 8)[0]
-                if text := data[start : start + n].split(b"\0")[0].decode("latin-1").strip():
+                if text := (value[:n] if n <= 4 else view.at(base + there, min(n, _LONGEST))).split(b"\0")[0].decode("latin-1").strip():
                     found[name] = text
-            elif kind in (3, 4):
-                (value,) = struct.unpack_from(f"{order}{'H' if kind == 3 else 'I'}", data, entry + 8)
-                if value:
-                    found[name] = value
-
-
-def read_tags(data: bytes) -> dict:
-    """EXIF tags, the XMP properties in use and the JPEG frame size; damage gives fewer tags, no error."""
-    found: dict = {}
-    at = data.find(b"Exif\0\0")
-    start = at + 6 if at >= 0 else 0 if data[:4] in (b"II*\0", b"MM\0*") else data.find(b"eXIf") + 4 if b"eXIf" in data else -1
-    if start >= 0 and data[start : start + 2] in (b"II", b"MM"):
-        order = "<" if data[start : start + 2] == b"II" else ">"
-        try:
-            _directory(data[start:], struct.unpack_from(f"{order}I", data, start + 4)[0], order, found, set())
-        except struct.error:
-            pass
-    if (at := data.find(b"<x:xmpmeta")) >= 0 or (at := data.find(b"<rdf:RDF")) >= 0:
-        ends = [data.find(tag, at) for tag in (b"</x:xmpmeta>", b"</rdf:RDF>")]
-        xml = data[at : max(ends) if max(ends) > 0 else len(data)].decode("utf-8", "replace")
-        value = lambda p: (m := re.search(rf'{p}\s*=\s*"([^"]*)"|<{p}>([^<]*)<', xml)) and (m[1] or m[2])
-        found |= {k: v for k, v in (("document_id", value("xmpMM:DocumentID")), ("derived_from", value("stRef:documentID")), ("xmp_modified", value("xmp:ModifyDate") or value("xmp:CreateDate")), ("xmp_original", next(filter(None, map(value, V.XMP_DATES)), None))) if v}
-        found.setdefault("software", value("xmp:CreatorTool"))
-    at = 2
-    while data[:2] == b"\xff\xd8" and at + 9 < len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-        if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
-            found["height"], found["width"] = struct.unpack_from(">HH", data, at + 5)
-            break
-        at += 2 + struct.unpack_from(">H", data, at + 2)[0]
-    return found
-
-
-def _box(file, start: int, end: int, kind: bytes) -> tuple[int, int] | None:
-    """The payload's bounds of the first box of that kind among the boxes of a level; a broken size ends the search."""
-    for _ in range(_BOXES):
-        if start + 8 > end:
-            return None
-        file.seek(start)
-        head = file.read(16)
-        if len(head) < 8:
-            return None
-        size, payload = struct.unpack_from(">I", head)[0], start + 8
-        if size == 1:
-            if len(head) < 16:
-                return None
-            size, payload = struct.unpack_from(">Q", head, 8)[0], start + 16
-        elif size == 0:
-            size = end - start
-        if size < 8 or start + size > end:
-            return None
-        if head[4:8] == kind:
-            return payload, start + size
-        start += size
-    return None
-
-
-def movie_seconds(file, size: int) -> int | None:
+            elif kind in (3, 4) and (number := struct.unpack(f"{order}H", value[:2])[0] if kind == 3 else there):
+                found[name] = number
+
+
+def _packet(xml: str) -> dict:
+    """The XMP properties in use."""
+    value = lambda p: (m := re.search(rf'{p}\s*=\s*"([^"]*)"|<{p}>([^<]*)<', xml)) and (m[1] or m[2])
+    named = (("document_id", value("xmpMM:DocumentID")), ("derived_from", value("stRef:documentID")), ("xmp_modified", value("xmp:ModifyDate") or value("xmp:CreateDate")), ("xmp_original", next(filter(None, map(value, V.XMP_DATES)), None)), ("software", value("xmp:CreatorTool")))
+    return {k: v for k, v in named if v}
+
+
+def read_tags(view: containers.View) -> dict:
+    """EXIF tags, the XMP properties in use and the frame size, from where the file's own structure has them; damage gives fewer tags, no error."""
+    tags: dict = {}
+    packet, frame = None, {}
+    for kind, a, b in containers.parts(view):
+        if kind == "size":
+            frame = {"width": a, "height": b}
+        elif kind == "xmp":
+            packet = packet or (a, b)
+        elif not tags and (head := view.at(a, 8))[:2] in (b"II", b"MM") and len(head) == 8:
+            order = "<" if head[:2] == b"II" else ">"
+            try:
+                _directory(view, a, struct.unpack(f"{order}I", head[4:])[0], order, tags, set())
+            except struct.error:
+                pass
+    packet = packet or tags.get("xmp")
+    tags.pop("xmp", None)
+    said = _packet(view.at(*packet).decode("utf-8", "replace")) if packet else {}
+    return said | tags | frame
+
+
+def movie_seconds(view: containers.View) -> int | None:
     """Creation time of an MP4 movie header in Unix seconds; unset or earlier than 1970 is none."""
-    if not (movie := _box(file, 0, size, b"moov")) or not (header := _box(file, *movie, b"mvhd")):
+    first = lambda kind, a, b: next(((x, y) for k, x, y in containers.boxes(view, a, b) if k == kind), None)
+    if not (movie := first(b"moov", 0, view.size)) or not (header := first(b"mvhd", *movie)):
         return None
-    file.seek(header[0])
-    body = file.read(20)
+    body = view.at(header[0], 20)
     if len(body) < 12:
         return None
     seconds = struct.unpack_from(">Q" if body[0] == 1 else ">I", body, 4)[0]
@@ -106,7 +87,7 @@ def movie_seconds(file, size: int) -> int | None:
 
 
 def read_raw(assets: DataFrame, root: str) -> DataFrame:
-    """(path, RAW columns) of media files and sidecars; unreadable files give nulls. Tags are looked up wherever they lie, in the mapped file."""
+    """(path, RAW columns) of media files and sidecars; unreadable files give nulls. Files are read by seeks, at the places where their structure keeps metadata."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"width": pa.int32(), "height": pa.int32(), "container_s": pa.int64()}
@@ -117,11 +98,8 @@ def read_raw(assets: DataFrame, root: str) -> DataFrame:
                 try:
                     full = os.path.join(root, path)
                     with open(full, "rb") as file:
-                        if kind == "video":
-                            tags["container_s"] = movie_seconds(file, os.path.getsize(full))
-                        elif os.path.getsize(full):
-                            with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
-                                tags = read_tags(mapped)
+                        view = containers.View(file, os.path.getsize(full))
+                        tags = {"container_s": movie_seconds(view)} if kind == "video" else read_tags(view)
                 except (OSError, struct.error):
                     tags = {}
                 rows.append(tags)

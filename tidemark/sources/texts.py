@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import values as V
+from tidemark.sources import lines
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -15,9 +16,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("i", "text")).select("file", (F.col("i") + 1).alias("line"), "text")
 
 
-def read_journals(spark: SparkSession, path: str) -> DataFrame:
-    """JOURNAL records with `file`, `line` and `state`: 'ok', 'truncated' (a torn last line) or 'broken' (any other bad line)."""
-    rows = numbered_lines(spark, path).filter(F.trim("text") != "")
+def read_journals(spark: SparkSession, path: str, split: int = lines.SPLIT) -> DataFrame:
+    """JOURNAL records with `file`, `line` and `state`: 'ok', 'truncated' (a torn last line) or 'broken' (any other bad line).
+
+    A journal may be of any size: it is read in ranges of `split` bytes. path may be a pattern; every worker has to see the files.
+    """
+    rows = lines.read_lines(spark, path, split).filter(F.trim("text") != "")
     parsed = rows.withColumn("r", F.from_json("text", schemas.struct(schemas.JOURNAL.replace("`", "")), {"mode": "PERMISSIVE"}))
     last = parsed.groupBy("file").agg(F.max("line").alias("last"))
     good = F.col("r.kind").isNotNull()

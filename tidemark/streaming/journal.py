@@ -53,13 +53,3 @@ def dirs_to_restore(records: DataFrame) -> DataFrame:
 def dirs_to_prune(records: DataFrame) -> DataFrame:
     """Created directories, the deepest first; each is removed only if it is empty."""
     return records.filter("kind = 'mkdir'").select("run_id", "dir").distinct().orderBy("run_id", F.desc(F.size(F.split("dir", "/"))), F.desc("dir"))
-
-
-def read_stream(spark, path: str, schema: str) -> DataFrame:
-    """Journals as a stream of JSON records, as they are appended under path (one folder for each run)."""
-    return spark.readStream.schema(schema).option("recursiveFileLookup", True).json(path)
-
-
-def live_progress(records: DataFrame) -> DataFrame:
-    """Running counts of each run, for a streaming query in update or complete mode; state is one row for each run."""
-    return records.groupBy("run_id").agg(F.count_if(F.col("kind") == "planned-move").alias("planned"), F.count_if(F.col("kind") == "moved").alias("moved"), F.count_if(F.col("kind") == "error").alias("failed"), F.bool_or(F.col("kind") == "done").alias("finished"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, identify, paths, words
 from tidemark.functions import values as V
-from tidemark.operators import corpus, evidence, verdict
+from tidemark.operators import corpus, evidence, pairing, verdict
 from tidemark.registry import query, table
+from tidemark.sources import metadata
 
 NOW_YEAR = 2026
 
@@ -69,27 +70,40 @@ def _order_names(orders) -> Column:
     return out.otherwise(made[-1])
 
 
-def _detector_sql() -> str:
-    """One branch for each detector, with a consuming group where Java looks ahead."""
-    parts = []
-    for seq, (detail, pattern, groups, confidence) in enumerate(evidence.DETECTORS):
-        p = pattern.replace("(?=[^0-9]|$)", "(?:[^0-9]|$)").replace("'", "''")
-        g = lambda i, p=p: f"nullif(regexp_extract(stem, '{p}', {i}), '')"
-        base = f"SELECT k, {seq} AS o, '{detail}' AS detail"
-        if groups == 1:
-            ms = f"CASE WHEN length({g(1)}) = 13 THEN {g(1)}::BIGINT ELSE {g(1)}::BIGINT * 1000 END"
-            parts.append(f"{base}, 'filename-epoch' AS kind, 'high' AS confidence, NULL AS wall, {ms} AS ms FROM stems WHERE year(make_timestamp(({ms}) * 1000)) BETWEEN 2008 AND {NOW_YEAR + 1}")
-        elif groups == 0:
-            parts.append(f"{base}, 'filename-year' AS kind, 'low' AS confidence, {g(1)} || '-01-01 00:00:00' AS wall, NULL AS ms FROM stems WHERE {g(1)}::INT BETWEEN 1990 AND {NOW_YEAR + 1}")
-        else:
-            date = f"{g(1)} || '-' || {g(2)} || '-' || {g(3)}"
-            time = "'00:00:00'" if groups == 3 else f"{g(4)} || ':' || {g(5)} || ':' || {g(6)}"
-            valid = f"try_cast({date} AS DATE) IS NOT NULL" + ("" if groups == 3 else f" AND {g(4)}::INT <= 23 AND {g(5)}::INT <= 59 AND {g(6)}::INT <= 60")
-            parts.append(f"{base}, 'filename-timestamp' AS kind, '{confidence or 'high'}' AS confidence, {date} || ' ' || {time} AS wall, NULL::BIGINT AS ms FROM stems WHERE {valid}")
-    return _NAMES_SQL + ", stems AS (SELECT k, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM names), found AS (" + " UNION ALL ".join(parts) + ")"
-
-
-@query(_detector_sql() + " SELECT k AS o_orderkey, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS seq, kind, confidence, detail, wall, ms FROM found")
+#: The detectors as SQL states them, apart from the library's own table: name, pattern, what its groups are, confidence.
+_SQL_DETECTORS = (
+    ('android-camera', r'(?i)^(?:IMG|VID|PANO|BURST)_([0-9]{4})([0-9]{2})([0-9]{2})_([0-9]{2})([0-9]{2})([0-9]{2})', 'time', 'high'),
+    ('screenshot', r'(?i)^Screenshot[ _-]([0-9]{4})-([0-9]{2})-([0-9]{2})-([0-9]{2})-([0-9]{2})-([0-9]{2})', 'time', 'high'),
+    ('whatsapp', r'(?i)^(?:IMG|VID|AUD)-([0-9]{4})([0-9]{2})([0-9]{2})-WA[0-9]+', 'day', 'high'),
+    ('windows-phone', r'(?i)^WP_([0-9]{4})([0-9]{2})([0-9]{2})_', 'day', 'high'),
+    ('ios-dotted', r'^([0-9]{4})-([0-9]{2})-([0-9]{2})[ _]([0-9]{2})[.]([0-9]{2})[.]([0-9]{2})', 'time', 'high'),
+    ('leading-iso-date', r'^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[^0-9]|$)', 'day', 'high'),
+    ('telegram-photo', r'(?i)^photo([0-9]{10})$', 'epoch', 'high'),
+    ('epoch-stem', r'^([0-9]{10}|[0-9]{13})$', 'epoch', 'high'),
+    ('paren-epoch', r'[(]([0-9]{10}|[0-9]{13})[)]', 'epoch', 'high'),
+    ('compact-anywhere', r'(?:^|[^0-9])([0-9]{4})([0-9]{2})([0-9]{2})[_-]([0-9]{2})([0-9]{2})([0-9]{2})(?:[^0-9]|$)', 'time', 'medium'),
+    ('iso-date-anywhere', r'(?:^|[^0-9])([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[^0-9]|$)', 'day', 'medium'),
+    ('year-anywhere', r'(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 'year', 'low'),
+)
+_GROUPS_SQL = " UNION ALL ".join(
+    f"SELECT k, {o} AS o, '{detail}' AS detail, '{shape}' AS shape, '{confidence}' AS confidence, " + ", ".join(f"regexp_extract(stem, '{pattern}', {i}) AS {name}" for i, name in enumerate("abchms", 1)) + f" FROM stems WHERE regexp_matches(stem, '{pattern}')"
+    for o, (detail, pattern, shape, confidence) in enumerate(_SQL_DETECTORS)
+)
+_FOUND_SQL = (_NAMES_SQL + r"""
+, stems AS (SELECT k, regexp_replace(name, '\.[^.]*$', '') AS stem FROM names),
+g AS (@@),
+parsed AS (
+  SELECT *, CASE WHEN shape IN ('time', 'day') THEN a || '-' || b || '-' || c || CASE shape WHEN 'time' THEN ' ' || h || ':' || m || ':' || s ELSE ' 00:00:00' END WHEN shape = 'year' THEN a || '-01-01 00:00:00' END AS wall,
+         CASE shape WHEN 'epoch' THEN try_cast(a AS BIGINT) * CASE length(a) WHEN 13 THEN 1 ELSE 1000 END END AS ms FROM g
+),
+found AS (
+  SELECT k, o, detail, CASE shape WHEN 'epoch' THEN 'filename-epoch' WHEN 'year' THEN 'filename-year' ELSE 'filename-timestamp' END AS kind, confidence, wall, ms FROM parsed
+  WHERE CASE shape WHEN 'epoch' THEN year(make_timestamp(ms * 1000)) BETWEEN 2008 AND 2027 WHEN 'year' THEN try_cast(a AS INT) BETWEEN 1990 AND 2027
+    ELSE try_cast(a || '-' || b || '-' || c AS DATE) IS NOT NULL AND (shape = 'day' OR try_cast(h AS INT) <= 23 AND try_cast(m AS INT) <= 59 AND try_cast(s AS INT) <= 60) END
+)""").replace("@@", _GROUPS_SQL)
+
+
+@query(_FOUND_SQL + " SELECT k AS o_orderkey, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS seq, kind, confidence, detail, wall, ms FROM found")
 def name_detect(spark, sf_dir):
     """G1, G1a-G1l, G3: file names made of orders; every detector that fires, in order."""
     orders = table(spark, sf_dir, "orders")
@@ -97,7 +111,7 @@ def name_detect(spark, sf_dir):
     return rows.select("o_orderkey", F.col("seq").cast("long").alias("seq"), "c.kind", "c.confidence", "c.detail", dates.format_wall(F.col("c.wall")).alias("wall"), F.unix_millis("c.instant").alias("ms"))
 
 
-@query(_detector_sql() + " SELECT detail, count(*) AS n FROM (SELECT k, arg_min(detail, o) AS detail FROM found GROUP BY k) GROUP BY detail")
+@query(_FOUND_SQL + " SELECT detail, count(*) AS n FROM (SELECT k, arg_min(detail, o) AS detail FROM found GROUP BY k) GROUP BY detail")
 def name_best(spark, sf_dir):
     """The first claim of each name made of an order, counted by detector."""
     orders = table(spark, sf_dir, "orders")
@@ -298,3 +312,80 @@ def words_of_orders(spark, sf_dir):
         "o_orderkey", dates.date_in_words(F.lit(None).cast("string"), F.col("o_orderdate")).alias("said"), words.counted(k, "файл", "файла", "файлов").alias("files"), words.human_duration(k * 1000 + 77).alias("took"),
         words.human_bytes((k * k).cast("double")).alias("size"),
     )
+
+
+_TEXTS_SQL = """
+WITH t AS (SELECT o_orderkey AS k, o_orderkey % 6 AS shape, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m') AS mo, strftime(o_orderdate, '%d') AS d, lpad((o_orderkey % 25)::VARCHAR, 2, '0') AS h, lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS m, o_orderkey % 7 AS tool FROM orders),
+u AS (SELECT *, h::INT < 24 AS valid FROM t)"""
+
+
+@query(_TEXTS_SQL + """
+SELECT k AS o_orderkey, CASE WHEN shape = 0 AND valid OR shape = 1 AND valid THEN y || '-' || mo || '-' || d || ' ' || h || ':' || m || ':00' END AS exif,
+  CASE WHEN shape = 2 AND valid THEN y || '-' || mo || '-' || d || ' ' || h || ':' || m || ':00' WHEN shape = 3 THEN y || '-' || mo || '-' || d || ' 00:00:00' END AS sidecar, CASE WHEN shape = 2 AND valid THEN false WHEN shape = 3 THEN true END AS date_only
+FROM u
+""")
+def metadata_dates(spark, sf_dir):
+    """Dates of orders written as EXIF, XMP attributes and elements write them, some with an hour that there isn't, and what the parsers make of them."""
+    k, c = F.col("o_orderkey"), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    y, mo, d = (F.date_format("o_orderdate", f) for f in ("yyyy", "MM", "dd"))
+    h, m = F.lpad((k % 25).cast("string"), 2, "0"), F.lpad((k % 60).cast("string"), 2, "0")
+    day, time = c(y, "-", mo, "-", d), c(h, ":", m, ":00")
+    said = (
+        F.when(k % 6 == 0, c(y, ":", mo, ":", d, " ", time)).when(k % 6 == 1, c(y, ":", mo, ":", d, "T", time, "+03:00")).when(k % 6 == 2, c('<a photoshop:DateCreated="', day, "T", time, 'Z"/>'))
+        .when(k % 6 == 3, c("<photoshop:DateCreated>", day, "</photoshop:DateCreated>")).when(k % 6 == 4, F.lit("0000:00:00 00:00:00")).otherwise("none")
+    )
+    xmp = metadata.xmp_capture_date(F.col("said"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+    return rows.select("o_orderkey", dates.format_wall(metadata.exif_wall(F.col("said"))).alias("exif"), dates.format_wall(xmp["wall"]).alias("sidecar"), xmp["date_only"].alias("date_only"))
+
+
+@query(_TEXTS_SQL + """
+, saved AS (SELECT k, CASE tool WHEN 0 THEN 'Adobe Photoshop CS3' WHEN 1 THEN 'Picasa' WHEN 2 THEN 'GIMP 2.8' ELSE 'Ver.1.0' END AS software, tool < 2 AS editor, shape < 3 AS own, y || '-' || mo || '-' || d || ' ' || lpad((h::INT % 24)::VARCHAR, 2, '0') || ':' || m || ':00' AS wall FROM u)
+SELECT k AS o_orderkey, CASE WHEN own THEN 'exif-original' WHEN editor THEN 'editor-save' ELSE 'exif-modify' END AS kind, wall FROM saved
+UNION ALL SELECT k, 'exif-modify', wall FROM saved WHERE own
+""")
+def metadata_claims(spark, sf_dir):
+    """What a photo's own metadata claim: the capture date, and the saved date as a modification or as an editor's."""
+    k = F.col("o_orderkey")
+    wall = F.concat(F.date_format("o_orderdate", "yyyy:MM:dd"), F.lit(" "), F.lpad((k % 25 % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(":00"))
+    tool = F.when(k % 7 == 0, "Adobe Photoshop CS3").when(k % 7 == 1, "Picasa").when(k % 7 == 2, "GIMP 2.8").otherwise("Ver.1.0")
+    none = F.lit(None).cast("string")
+    raw = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 6 < 3, wall).alias("original"), wall.alias("modified"), tool.alias("software"), none.alias("xmp_modified"), F.lit(None).cast("long").alias("container_s"))
+    rows = raw.select("o_orderkey", F.explode(metadata.photo_claims(raw)).alias("c"))
+    return rows.select("o_orderkey", "c.kind", dates.format_wall(F.col("c.wall")).alias("wall"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'G' || repeat('x', 187) || 'G' WHEN 1 THEN 'abcdG' || repeat('x', 191) || 'G' WHEN 2 THEN 'G' || repeat('x', 188) ELSE '' END || coalesce(substr(text, 1, 50), '') AS head FROM documents)
+SELECT doc_id, substr(head, 1, 1) = 'G' AND substr(head, 189, 1) = 'G' OR substr(head, 5, 1) = 'G' AND substr(head, 197, 1) = 'G' AS stream FROM d
+""")
+def transport_streams(spark, sf_dir):
+    """Heads with the sync byte a packet apart, plain or behind a time stamp, and heads without."""
+    k = F.col("doc_id") % 4
+    lead = F.when(k == 0, "G" + "x" * 187 + "G").when(k == 1, "abcdG" + "x" * 191 + "G").when(k == 2, "G" + "x" * 188).otherwise("")
+    head = F.encode(F.concat(lead, F.substring(F.coalesce("text", F.lit("")), 1, 50)), "UTF-8")
+    return table(spark, sf_dir, "documents").select("doc_id", identify.is_transport_stream(head).alias("stream"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, ['ПРОЧЕЕ/_мусор/', 'ПРОЧЕЕ/_дубликаты/', 'ПРОЧЕЕ/аудио/', '2011/ПРОЧЕЕ/_мусор/', 'НА_РАЗБОР/ПРОЧЕЕ/', 'НА_РАЗБОР/a/НА_РАЗБОР/'][p_partkey % 6 + 1] || CASE WHEN p_size % 2 = 0 THEN 'sub/' ELSE '' END || 'f' || p_partkey || '.jpg' AS path FROM part)
+SELECT k AS p_partkey, k % 6 < 2 AS quarantined, CASE WHEN k % 6 > 3 THEN substr(path, 11) ELSE path END AS plain, CASE WHEN k % 6 < 2 THEN regexp_replace(path, '^.*/', '') ELSE replace(path, '/', '__') END AS flat FROM p
+""")
+def quarantined_names(spark, sf_dir):
+    """Which paths lie in quarantine, what they are without the prefix of review, and their flat names."""
+    k = F.col("p_partkey")
+    top = F.element_at(F.array(*map(F.lit, ("ПРОЧЕЕ/_мусор/", "ПРОЧЕЕ/_дубликаты/", "ПРОЧЕЕ/аудио/", "2011/ПРОЧЕЕ/_мусор/", "НА_РАЗБОР/ПРОЧЕЕ/", "НА_РАЗБОР/a/НА_РАЗБОР/"))), (k % 6 + 1).cast("int"))
+    path = F.concat(top, F.when(F.col("p_size") % 2 == 0, "sub/").otherwise(""), F.lit("f"), k.cast("string"), F.lit(".jpg"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return rows.select("p_partkey", paths.is_quarantined(F.col("path")).alias("quarantined"), paths.strip_review(F.col("path")).alias("plain"), paths.flat_name(F.col("path")).alias("flat"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 3 < 2 AND p_partkey % 2 = 0 AND p_partkey % 5 > 0 AND p_size % 7 > 0")
+def broken_photos(spark, sf_dir):
+    """JPEG photos that an editor saved and that have no date of their own."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf_dir, "part").withColumn("path", k.cast("string"))
+    assets = part.select("path", F.when(size % 3 < 2, "photo").otherwise("video").alias("kind"), F.when(k % 2 == 0, "jpeg").otherwise("png").alias("format"))
+    verdicts = part.select("path", F.when(k % 5 == 0, "dated").when(k % 5 == 1, "partial").otherwise("unknown").alias("status"))
+    saved = part.filter(size % 7 > 0).select("path", F.lit("2014-02").alias("latest"))
+    return pairing.broken_class(assets, verdicts, saved).select(F.col("path").cast("long").alias("p_partkey"))

@@ -132,10 +132,9 @@ def sidecar_wall(text: Column) -> Column:
 
 def xmp_capture_date(xml: Column) -> Column:
     """struct<wall,date_only> of the first capture property of an XMP text, as an attribute or an element."""
-    tries = []
-    for prop in V.XMP_DATES:
-        tries += [sidecar_wall(F.regexp_extract(xml, rf'{prop}\s*=\s*"([^"]*)"', 1)), sidecar_wall(F.regexp_extract(xml, rf"<{prop}>([^<]*)<", 1))]
-    return F.coalesce(*tries)
+    texts = [F.regexp_extract(xml, pattern, 1) for prop in V.XMP_DATES for pattern in (rf'{prop}\s*=\s*"([^"]*)"', rf"<{prop}>([^<]*)<")]
+    # one parser over an array of the texts, not one for each
+    return F.get(F.filter(F.transform(F.array(*texts), sidecar_wall), F.isnotnull), F.lit(0))
 
 
 def is_editor(software: Column) -> Column:

@@ -121,3 +121,21 @@ def test_pipeline(spark):
         at = new
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in at.select("doc_id").collect()}
+
+
+def test_pipeline_stages_take_any_table(spark):
+    """Null, empty and repeated texts and ids, an empty table, further columns of clashing and dotted names."""
+    import corpus_pipeline
+
+    said = lambda seed: " ".join(f"w{(seed * 7919 + i * i * 31 + i * 17) % 4001}" for i in range(80))
+    rows = [(1, said(1)), (2, said(1)), (2, said(1)), (3, None), (4, ""), (None, said(5)), (None, None), (6, "same word " * 200), (7, said(7)), (9, said(9) + " " + said(1))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 5, "x", i) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, node long")
+    kept = {"quality_rules": {None, 1, 2, 7, 9}, "line_dedup": {None, 1, 2, 7, 9}, "near_dedup": {None, 1, 7, 9}, "decontamination": {None, 1, 7, 9}}
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, SF)
+        assert out.columns == docs.columns
+        assert stage(spark, docs.filter("false"), SF).count() == 0
+        at = spark.createDataFrame(out.collect(), docs.schema)
+        assert {r.doc_id for r in at.collect()} == kept[name]
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, at, SF).collect()} == kept["decontamination"]

@@ -487,7 +487,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that share one id are one document and stay or go together; rows without an id stay.
     """
-    known = docs.filter(F.col(id_col).isNotNull())
-    classes = near_duplicate_classes(known, id_col, text_col)
-    chosen = classes.filter(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return known.join(chosen, id_col, "left_semi").select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    plain, key = docs.toDF(*names), names[docs.columns.index(id_col)]
+    known = plain.filter(F.col(key).isNotNull())
+    classes = near_duplicate_classes(known.select(F.col(key).alias("id"), F.col(names[docs.columns.index(text_col)]).alias("text")), "id", "text")
+    chosen = classes.filter(F.col("id") == F.col("class_id")).select(F.col("id").alias(key)).distinct()
+    return known.join(chosen, key, "left_semi").select(names).unionByName(plain.filter(F.col(key).isNull())).toDF(*docs.columns)

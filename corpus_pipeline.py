@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result
 as Parquet to the shared folder and reads it again as the next stage's documents. All
-stages but the last keep the columns of documents.
+stages but the last keep the columns of documents, whatever further ones are called.
+
+Null and empty texts have no words: the quality rules reject them. Rows without an id pass line dedup and near-dedup
+and are judged by their texts elsewhere; rows that share an id are one document in near-dedup. Repeated rows stay
+repeated until near-dedup leaves one id of each class. An empty table passes every stage as an empty table.
+Stages are written tables in the shared folder, so a lost executor costs no finished stage.
 """
 
 from __future__ import annotations

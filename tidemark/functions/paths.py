@@ -114,6 +114,26 @@ def normalized(path: Column) -> Column:
     return F.lower(F.regexp_replace(p, r"(?<=[^:\\])\\$", ""))
 
 
+def plain_form(path: Column) -> Column:
+    """A path without the prefix for long ones."""
+    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\\\\\"), r"^\\\\\?\\", "")
+
+
+def extended_form(path: Column, limit: int = V.LONG_PATH) -> Column:
+    """An absolute path of `limit` characters or more with the prefix for long ones; others, and those that have it, as they are.
+
+    The prefix turns off the system's own reading of a path, so separators, `.` and `..` are settled before.
+    """
+    back = F.replace(path, F.lit("/"), F.lit("\\"))
+    unc, drive = back.rlike(r"^\\\\[^\\]"), back.rlike(r"^[A-Za-z]:\\")
+    segments = F.split(F.substring(back, F.when(unc, 3).otherwise(4), F.length(back)), r"\\")
+    empty = F.array().cast("array<string>")
+    settled = F.aggregate(segments, empty, lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    body = F.array_join(settled, "\\")
+    long = (F.length(path) >= limit) & ~path.startswith("\\\\?\\")
+    return F.when(long & unc, F.concat(F.lit("\\\\?\\UNC\\"), body)).when(long & drive, F.concat(F.lit("\\\\?\\"), F.substring(back, 1, 3), body)).otherwise(path)
+
+
 def same_path(a: Column, b: Column) -> Column:
     return normalized(a) == normalized(b)
 

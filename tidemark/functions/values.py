@@ -86,3 +86,6 @@ AS_IS_ANSWERS = ("как есть", "какесть", "оставить", "ос
 
 #: What the library itself writes at a root; no scan lists it.
 RUNS_DIR, RECEIPT = ".tidemark-runs", "TIDEMARK.txt"
+
+#: Characters from which on a Windows path needs its prefix.
+LONG_PATH = 260

@@ -72,13 +72,13 @@ def broken_class(assets: DataFrame, verdicts: DataFrame, saved: DataFrame) -> Da
     return assets.filter("kind = 'photo' AND format = 'jpeg'").select("path").join(undated, "path", "left_semi").join(saved, "path")
 
 
-def nominate(queries: DataFrame, candidates: DataFrame, levels: int = V.PIXEL_LEVELS, least: int = V.PIXEL_LEAST, most: int = V.PIXEL_MOST) -> DataFrame:
+def nominate(queries: DataFrame, candidates: DataFrame, levels: int = V.PIXEL_LEVELS, least: int = V.PIXEL_LEAST, most: int | None = V.PIXEL_MOST) -> DataFrame:
     """(query, candidate, day, level, available): which dated photos could be the original of a query.
 
     queries: path, model, latest (month 'yyyy-MM'), both may be null; candidates: path, model, day. A pool is what lies in
     the query's own directory, or else anywhere below its parent, and so on for `levels` more, of the same model where
     both are known and not of a later month; the first pool of at least `least` is taken. Of a pool the first `most`
-    by path are compared (as the search is defined), `available` is its whole number. Queries of one directory, model and month share
+    by path are compared (as the search is defined; most=None compares all), `available` is its whole number. Queries of one directory, model and month share
     a pool, so pools are made for those keys, level by level, and only keys without one go on.
     """
     steps = F.reverse(paths.ancestors(F.col("path")))
@@ -95,7 +95,7 @@ def nominate(queries: DataFrame, candidates: DataFrame, levels: int = V.PIXEL_LE
         fits = (F.col("q_model").isNull() | F.col("c_model").isNull() | (F.col("q_model") == F.col("c_model"))) & (F.col("latest").isNull() | (F.substring("day", 1, 7) <= F.col("latest")))
         pool = at.join(own if level == 0 else below, "dir").filter(fits).select(*keys, "candidate", "day")
         sizes = pool.groupBy(*keys).agg(F.count("*").alias("available")).filter(F.col("available") >= least)
-        first = pool.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("candidate"))).filter(F.col("place") <= most)
+        first = pool if most is None else pool.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("candidate"))).filter(F.col("place") <= most)
         rows = first.alias("l").join(sizes.alias("r"), same).select("l.*", "r.available", F.lit(level).alias("level")).drop("place")
         found = rows if found is None else found.unionByName(rows)
         left = left.alias("l").join(sizes.alias("r"), same, "left_anti")

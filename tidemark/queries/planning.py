@@ -275,3 +275,19 @@ FROM old o FULL JOIN new n ON o.path = n.path WHERE n.path IS NULL OR o.path IS
 def not_conserved(spark, sf_dir):
     """The files of directories whose fingerprints differ that aren't as they were."""
     return conservation.not_conserved(*_scans(spark, sf_dir))
+
+
+@query(r"""
+WITH p AS (SELECT p_partkey AS k, ['C:\\', '\\\\srv\\', '\\\\?\\C:\\', 'rel\\'][p_partkey % 4 + 1] AS root, repeat('abcdefghi' || CASE WHEN p_size % 2 = 0 THEN '\\' ELSE '/' END, 20 + p_size % 12) AS dirs, 'f' || p_partkey || '.jpg' AS name FROM part),
+a AS (SELECT k, root || dirs || CASE WHEN k % 3 = 0 THEN '.\\x\\..\\' ELSE '' END || name AS path, replace(dirs, '/', '\\') || name AS body FROM p)
+SELECT k AS p_partkey, CASE WHEN length(path) < 260 OR k % 4 > 1 THEN path WHEN k % 4 = 0 THEN '\\\\?\\C:\\' || body ELSE '\\\\?\\UNC\\srv\\' || body END AS extended,
+  CASE WHEN k % 4 = 2 THEN substr(path, 5) ELSE path END AS plain FROM a
+""".replace("\\\\", "\\"))
+def long_paths(spark, sf_dir):
+    """absolute paths of 260 characters or more get the prefix, settled before; others stay."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    root = F.element_at(F.array(*map(F.lit, ("C:\\", "\\\\srv\\", "\\\\?\\C:\\", "rel\\"))), (k % 4 + 1).cast("int"))
+    dirs = F.expr("repeat(CASE WHEN p_size % 2 = 0 THEN 'abcdefghi|' ELSE 'abcdefghi/' END, 20 + p_size % 12)")
+    path = F.concat(root, F.translate(dirs, "|", "\\"), F.when(k % 3 == 0, ".\\x\\..\\").otherwise(""), F.lit("f"), k.cast("string"), F.lit(".jpg"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return rows.select("p_partkey", paths.extended_form(F.col("path")).alias("extended"), paths.plain_form(F.col("path")).alias("plain"))

@@ -50,11 +50,15 @@ def plan_report(plan: Plan, root: str) -> Iterator[str]:
     yield from _section("Emptied folders", plan.emptied.select("dir", "level", F.concat(F.lit("  "), "dir").alias("line")), "level", "dir")
 
 
+def failures_of_runs(records: DataFrame) -> DataFrame:
+    """(run_id, from, to, line): moves of every run whose last word is an error."""
+    last = records.filter("kind IN ('moved', 'error')").groupBy("run_id", "from", "to").agg(F.max_by(F.struct("kind", "error"), "seq").alias("r"))
+    return last.filter("r.kind = 'error'").select("run_id", "from", "to", F.concat(F.lit("  "), "from", F.lit(": "), "r.error").alias("line"))
+
+
 def failures(records: DataFrame, run_id: str) -> DataFrame:
-    """(from, to, line): moves of a run whose last word is an error."""
-    of_run = records.filter(F.col("run_id") == run_id)
-    last = of_run.filter("kind IN ('moved', 'error')").groupBy("from", "to").agg(F.max_by(F.struct("kind", "error"), "seq").alias("r"))
-    return last.filter("r.kind = 'error'").select("from", "to", F.concat(F.lit("  "), "from", F.lit(": "), "r.error").alias("line"))
+    """(from, to, line) of one run."""
+    return failures_of_runs(records.filter(F.col("run_id") == run_id)).select("from", "to", "line")
 
 
 def apply_report(done: dict, records: DataFrame) -> Iterator[str]:

@@ -25,12 +25,11 @@ def undo_refusals(spark, sf_dir):
 
 
 @query(planning._JOURNAL_SQL + """, l AS (SELECT run_id, src, dst, arg_max(kind, seq) AS kind FROM j WHERE kind IN ('moved', 'error') GROUP BY 1, 2, 3)
-SELECT src, dst, '  ' || src || ': broken' AS line, run_id FROM l WHERE kind = 'error' AND run_id IN ('r1', 'r2')""")
+SELECT src, dst, '  ' || src || ': broken' AS line, run_id FROM l WHERE kind = 'error'""")
 def failed_moves(spark, sf_dir):
-    """K8: the lines of what two runs could not move."""
+    """K8: the lines of what the runs could not move, of every run."""
     records = planning._records(spark, sf_dir).withColumn("error", F.lit("broken"))
-    line = lambda run: reports.failures(records, run).select(F.col("from").alias("src"), F.col("to").alias("dst"), "line", F.lit(run).alias("run_id"))
-    return line("r1").unionByName(line("r2"))
+    return reports.failures_of_runs(records).select(F.col("from").alias("src"), F.col("to").alias("dst"), "line", "run_id")
 
 
 @query(planning._BUCKET_SQL + """ SELECT k AS o_orderkey, '  ' || path || ' -> ' || target || ' [' || why || CASE WHEN k % 13 = 5 THEN '; copy of first' ELSE '' END || CASE WHEN k % 17 = 0 THEN '; renamed, the name was taken' ELSE '' END || ']' AS line FROM b""")

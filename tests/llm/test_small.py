@@ -304,11 +304,28 @@ def test_recall_of_scattered_edits(n, edits):
         words = rng.integers(1, 1 << 62, n).astype(np.uint64)
         copy = words.copy()
         copy[rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 62, edits).astype(np.uint64)
-        lists = neardup._of_both_kinds(np.r_[words, copy], np.array([0, n, 2 * n])).to_pylist()
+        lists = neardup._of_all_kinds(np.r_[words, copy], np.array([0, n, 2 * n])).to_pylist()
         hit += bool(set(lists[0]) & set(lists[1]))
     assert hit >= (80 if n < 8 else 95)
 
 
+@pytest.mark.parametrize("n", [25, 30, 60, 100, 300, 1000])
+@pytest.mark.parametrize("spread", ["random", "fifth", "sixth", "seventh"])
+def test_recall_at_the_threshold(n, spread):
+    """Replaced words at edit similarity 0.8, anywhere or evenly spaced: 0.9 of the pairs share a sketch."""
+    rng, hit = np.random.default_rng(n), 0
+    for _ in range(200):
+        words = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        copy = words.copy()
+        step = {"random": 0, "fifth": 5, "sixth": 6, "seventh": 7}[spread]
+        at = np.arange(step - 1, n, step) if step else rng.choice(n, n // 5, replace=False)
+        copy[at] = rng.integers(1, 1 << 62, len(at)).astype(np.uint64)
+        assert neardup.similar(words, copy)
+        lists = neardup._of_all_kinds(np.r_[words, copy], np.array([0, n, 2 * n])).to_pylist()
+        hit += bool(set(lists[0]) & set(lists[1]))
+    assert hit >= 180
+
+
 def test_cells_admit_every_similar_pair():
     rng = np.random.default_rng(5)
     texts = [rng.integers(0, 50, rng.integers(1, 60)).astype(np.uint32) for _ in range(60)]

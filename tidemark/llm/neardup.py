@@ -1,12 +1,14 @@
 """Near-duplicate classes with Order MinHash, verified by banded alignment.
 
 A document's k-mers are its five-word shingles, each labelled with its occurrence
-number. For each of SKETCHES hash functions the ORDER smallest labelled k-mers are
+number. For each of several hash functions the ORDER smallest labelled k-mers are
 taken and kept in text order; their ordered hash is the sketch. Two texts share a
 sketch with a probability that falls with their edit distance, and reordered
-passages don't count as equal. A short text has too few five-word shingles to share
-two of them after an edit: below LONG words the k-mers have two words, and texts from
-0.8 LONG to LONG words have both kinds, so that similar texts always have one in common.
+passages don't count as equal. Edits just at the threshold can leave few five-word
+shingles, and none if every fifth word is another, so further sketches take
+three-word k-mers, two of five of which such edits leave. Short texts, of fewer than LONG words,
+have k-mers of two words, and texts from 0.8 LONG to LONG words have all kinds (KINDS),
+so that similar texts always have one in common.
 
 1. Equal texts become one node (128-bit hash), so copies cost one row each.
 2. Nodes that share a sketch are compared with the bucket's leader only (a star,
@@ -53,9 +55,12 @@ from pyspark.sql import types as T
 from tidemark.llm import jobs
 from tidemark.llm import textkernel as K
 
-SHINGLE, ORDER, SKETCHES, SIMILARITY = 5, 2, 48, 0.8
+ORDER, SIMILARITY = 2, 0.8
 #: Texts of fewer words have k-mers of two words.
-LONG, SHORT_SHINGLE = 25, 2
+LONG = 25
+_BOTH = int(SIMILARITY * LONG)
+#: Kinds of k-mers: their words, the sketches of each text, and the sizes of text that take them (from, to).
+KINDS = ((5, 12, _BOTH, None), (3, 48, _BOTH, None), (2, 48, 1, LONG))
 #: Rows of one key are too many beyond LEAST_HEAVY and beyond a share of 1 / HEAVY of all rows.
 HEAVY, LEAST_HEAVY = 10_000, 1_000
 #: Nodes and text of a block, and counters of a folded bag of words.
@@ -87,7 +92,7 @@ def _labelled(words: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.n
     return keys, edges
 
 
-def sketches(words: np.ndarray, bounds: np.ndarray, count: int = SKETCHES, shingle: int = SHINGLE, index_bits: int = _INDEX_BITS) -> np.ndarray:
+def sketches(words: np.ndarray, bounds: np.ndarray, count: int, shingle: int = KINDS[0][0], index_bits: int = _INDEX_BITS) -> np.ndarray:
     """Order MinHash of each row: (rows, count) hashes; rows without words have zeros."""
     keys, edges = _labelled(words, bounds, shingle)
     out = np.zeros((len(bounds) - 1, count), np.uint64)
@@ -119,15 +124,15 @@ def _nodes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _of_both_kinds(words: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
-    """Each row's sketches: of five-word shingles for long texts, of shorter ones for short texts, of both between."""
+def _of_all_kinds(words: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Each row's sketches, those of one kind of k-mers after those of another."""
     n = np.diff(bounds)
     kinds = []
-    for shingle, mine in ((SHINGLE, n >= int(SIMILARITY * LONG)), (SHORT_SHINGLE, (n > 0) & (n < LONG))):
-        rows = np.flatnonzero(mine)
-        part = np.repeat(mine, n)
-        kinds.append((rows, sketches(words[part], np.r_[0, np.cumsum(n[rows])], shingle=shingle)))
-    row = np.concatenate([np.repeat(rows, SKETCHES) for rows, _ in kinds])
+    for shingle, count, least, below in KINDS:
+        rows = np.flatnonzero((n >= least) & (n < below) if below else n >= least)
+        part = np.repeat(np.isin(np.arange(len(n)), rows), n)
+        kinds.append((np.repeat(rows, count), sketches(words[part], np.r_[0, np.cumsum(n[rows])], count, shingle)))
+    row = np.concatenate([rows for rows, _ in kinds])
     order = np.argsort(row, kind="stable")
     offsets = np.searchsorted(row[order], np.arange(len(n) + 1))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x.ravel() for _, x in kinds])[order].view(np.int64)))
@@ -138,7 +143,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in K.pieces(batches, "text"):
         data, offsets = K.text_bytes(piece.column(1))
         starts, ends, bounds = K.word_spans(data, offsets, K.NOT_WHITE)
-        lists = _of_both_kinds(K.span_hashes(data, starts, ends), bounds)
+        lists = _of_all_kinds(K.span_hashes(data, starts, ends), bounds)
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(_nodes(data, offsets), pa.binary()), lists], ["id", "node", "sketches"])
 
 
@@ -357,7 +362,7 @@ def _links(i: np.ndarray, j: np.ndarray, root: np.ndarray, words: list[np.ndarra
 
 
 _CELL = ["sketch", "lengths", "p", "q"]
-_TWO = 2 * SKETCHES
+_ALL = sum(count for _, count, _, _ in KINDS)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,10 +384,10 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(j)
         i, j = np.concatenate(left), np.concatenate(right)
         if "words" in rows.column_names:
-            lists = np.zeros((len(key), _TWO), np.int64)  # sketches of long texts, then those of short ones
+            lists = np.zeros((len(key), _ALL), np.int64)  # in the order of KINDS; the shortest texts have the last kind alone
             for at, x in enumerate(rows["sketches"]):
                 found = x.values.to_numpy()
-                lists[at, 0 if size[at] >= int(SIMILARITY * LONG) else SKETCHES :][: len(found)] = found
+                lists[at, 0 if size[at] >= _BOTH else _ALL - KINDS[-1][1] :][: len(found)] = found
             names = np.array([int.from_bytes(x.as_py()[:8], "little") for x in node], np.uint64)
             good = _chosen_here(i, j, key[:, 0], lists, names)
             i, j = i[good], j[good]

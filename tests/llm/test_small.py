@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,6 +165,40 @@ def test_decontamination(spark, docs, empty):
     assert decontam.benchmark_hits(docs, items.filter("false")).filter("size(hit_from) > 0").count() == 0
 
 
+def test_longest_matches(spark):
+    """Every test suffix's longest match in every document, by comparing all places."""
+    rng = random.Random(6)
+    some = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    items = [(k, some(n)) for k, n in enumerate((40, 12, 3, 25, 4, 60))] + [(9, "a " * 30), (None, some(15))]
+    items.append((10, items[0][1]))
+    rows = [(k, some(rng.randrange(300))) for k in range(12)] + [(20, f"x {items[5][1]} y {items[5][1][20:]} {items[0][1][:30]}"), (21, "a " * 500), (22, None), (23, "a")]
+    for window, block_words in ((4, decontam.BLOCK_WORDS), (10, decontam.BLOCK_WORDS), (4, 60)):
+        found = by_id(decontam.benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string"), window=window, block_words=block_words))
+        for i, text in rows:
+            d, want = (text or "").split(), []
+            for item, said in items:
+                q, lengths = said.split(), []
+                for at in range(max(1, len(q) - window + 1)):
+                    reach = lambda p: next((n for n in range(min(len(q) - at, len(d) - p)) if q[at + n] != d[p + n]), min(len(q) - at, len(d) - p))  # noqa: E731, B023
+                    best = max(map(reach, range(len(d))), default=0)
+                    lengths.append(best if best >= min(window, len(q)) else 0)
+                want += [(item, at, n) for at, n in enumerate(lengths) if n and not (at and lengths[at - 1] and n == lengths[at - 1] - 1)]
+            key = lambda x: (x[0] is None, x)
+            assert sorted(((m.item_id, m.item_word, m.n_words) for m in found[i].matches), key=key) == sorted(want, key=key)
+            said = {k: t.split() for k, t in items}
+            assert all(said[m.item_id][m.item_word : m.item_word + m.n_words] == d[m.doc_word : m.doc_word + m.n_words] for m in found[i].matches)
+
+
+def test_longest_matches_are_linear():
+    """A phrase repeated 20,000 times on both sides: 400 million pairs of places, which nothing lists."""
+    block = decontam.TestBlock(pa.array(["same word " * 20_000], pa.large_string()), [1])
+    words, bounds = decontam._word_hashes(pa.array(["same word " * 20_000 + "end"], pa.large_string()))
+    at, window = block.search(words, bounds)
+    order = np.argsort(at)
+    row, item, place, doc, n = decontam.longest_matches(block, at[order], window[order], np.zeros(len(at), np.int64))
+    assert (row[0], item[0], place[0], doc[0], n[0]) == (0, 0, 0, 0, 40_000) and len(n) == 1
+
+
 SECRETS = [
     ('password: "abcdefghijkl"', ["assign"]), ("PASSWORD=short", []), ("token=secret=abcdefghijklmnop", ["assign"]), ("AKIAABCDEFGHIJKLMN", ["access"]), ("AKIASHORT", []), ("deadbeefdeadbeef", ["hex"]), ("client_id=abc12345\nhost: db.example.com\npwd=hunter22", ["endpoint", "identifier", "secret"]),
     ("client_id=abc12345\n\npwd=hunter22", []), ("https://example.com/x", []), ("pwd=hunter22 " + "x" * 900 + " user=abcdef", ["identifier", "secret"]), ("pwd=hunter22 " + "x" * 900 + "\n \nuser=abcdef", []), (None, []), ("paſsword=abcdefghijklmn", []), ("é" * 5 + "api_key = abcdefghijklmnopqrst", ["assign"]),

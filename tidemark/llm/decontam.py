@@ -118,30 +118,95 @@ def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(start) - 1]]
 
 
-def _one_row(block: TestBlock, at: np.ndarray, window: np.ndarray, old: dict, with_matches: bool) -> dict:
+def _ranked(row: np.ndarray, token: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Ranks of the sequences of 1, 2, 4, ... tokens from each place, by row first, until `depth` tokens are told apart."""
+    def dense(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        order = np.lexsort((low, high))
+        new = np.r_[False, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])]
+        out = np.empty(len(order), np.int32)
+        out[order] = np.cumsum(new)
+        return out
+
+    ranks = [dense(row, token)]
+    while 1 << len(ranks) - 1 < depth:
+        after = np.minimum(np.arange(len(row)) + (1 << len(ranks) - 1), len(row) - 1)
+        ranks.append(dense(ranks[-1], ranks[-1][after]))  # what reaches beyond its run's end is unique already
+    return ranks
+
+
+def _in_common(ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many tokens from i on equal those from j on."""
+    i, start = i.copy(), i
+    j = j.copy()
+    for k in reversed(range(len(ranks))):
+        same = ranks[k][i] == ranks[k][j]
+        i[same] += 1 << k
+        j[same] += 1 << k
+    return i - start
+
+
+def longest_matches(block: TestBlock, at: np.ndarray, window: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, item, item word, doc word, words) of the longest match of every test suffix in every row, sorted.
+
+    at holds word places of the shard, sorted within a row. Of equally long matches the one with
+    the nearer, then the former document suffix counts. A match that only goes on with the
+    one of the suffix before it is left out.
+    """
+    span = int(block.first[-1]) + 1
+    seen, place = np.unique(row * span + window, return_index=True)  # the first place of each window in each row
+    seen_row, seen_window = np.divmod(seen, span)
+    sizes = block.first[seen_window + 1] - block.first[seen_window]
+    pair = np.repeat(block.first[seen_window], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    pair_row, pair_window = np.repeat(seen_row, sizes), np.repeat(seen_window, sizes)
+    item, word = block.item[pair], block.place[pair].astype(np.int64)
+    short = block.length[pair_window] < block.window  # items of a single, shorter window
+    ends = [(pair_row[short], item[short], word[short], at[np.repeat(place, sizes)[short]], block.length[pair_window[short]].astype(np.int64))]
+    whole = np.flatnonzero(~short)
+    if len(whole):
+        whole = whole[np.lexsort((word[whole], item[whole], pair_row[whole]))]
+        full = np.flatnonzero(block.length[window] == block.window)
+        owner = np.r_[np.zeros(len(full), np.int64), item[whole] + 1]
+        rows, spot, token = np.r_[row[full], pair_row[whole]], np.r_[at[full], word[whole]], np.r_[window[full], pair_window[whole]]
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (rows[1:] != rows[:-1]) | (spot[1:] != spot[:-1] + 1)]
+        new[len(full)] = True
+        run = np.cumsum(new) - 1
+        mine = np.arange(len(run)) + run  # places in the array, which has an end token of its own after each run
+        n = len(run) + int(run[-1]) + 1
+        all_rows, all_tokens, is_doc = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        last = np.r_[np.flatnonzero(new)[1:] - 1, len(run) - 1]
+        all_rows[mine], all_tokens[mine], is_doc[mine[: len(full)]] = rows, token, True
+        all_rows[mine[last] + 1], all_tokens[mine[last] + 1] = rows[last], span + np.arange(len(last))
+        of_items = last >= len(full)
+        ranks = _ranked(all_rows, all_tokens, int(np.diff(np.r_[-1, last])[of_items].max()) + 1)
+        order = np.lexsort((np.arange(n), ranks[-1]))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        docs = np.flatnonzero(is_doc[order])
+        suffix = mine[len(full) :]
+        behind = np.searchsorted(docs, rank[suffix])
+        found = []
+        for near in (behind - 1, behind):
+            there = order[docs[np.clip(near, 0, len(docs) - 1)]]
+            found.append((np.where((near >= 0) & (near < len(docs)), _in_common(ranks, suffix, there), 0), there))
+        (before, left), (after, right) = found
+        common, there = np.maximum(before, after), np.where(before >= after, left, right)
+        on = ~new[len(full) :] & np.r_[False, common[1:] == common[:-1] - 1]
+        doc = np.searchsorted(mine[: len(full)], there[~on])
+        ends.append((pair_row[whole][~on], item[whole][~on], word[whole][~on], at[full][doc], common[~on] + block.window - 1))
+    out = [np.concatenate(x) for x in zip(*ends, strict=True)]
+    order = np.lexsort((out[2], out[1], out[0]))
+    return tuple(x[order] for x in out)
+
+
+def _one_row(block: TestBlock, at: np.ndarray, window: np.ndarray, old: dict, longest: list[np.ndarray]) -> dict:
     """A document's hits: at is word places, window is window numbers, both for this document alone."""
-    order = np.argsort(at, kind="stable")
-    at, window = at[order], window[order]
     start = np.r_[at, np.array(old["hit_from"], np.int64)]
     end = np.r_[at + block.length[window], np.array(old["hit_to"], np.int64)]
     order = np.argsort(start, kind="stable")
     start, end = _merge(start[order], end[order])
-    if not with_matches:
-        windows = np.unique(window)
-        item = np.unique(np.concatenate([block.item[block.first[w] : block.first[w + 1]] for w in windows]))
-        items = sorted({*old["items"], *block.ids[item[block.known[item]]].tolist()})
-        return {"hit_from": start.tolist(), "hit_to": end.tolist(), "items": items, "matches": old["matches"]}
-    sizes = block.first[window + 1] - block.first[window]
-    pair = np.repeat(block.first[window], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    item, place, word = block.item[pair], block.place[pair], np.repeat(at, sizes)
-    length = np.repeat(block.length[window], sizes)
-    order = np.lexsort((word, word - place, item))
-    item, place, word, length = item[order], place[order], word[order], length[order]
-    new = np.r_[True, (item[1:] != item[:-1]) | (word[1:] - place[1:] != word[:-1] - place[:-1]) | (word[1:] != word[:-1] + 1)][: len(item)]
-    head = np.flatnonzero(new)
-    tail = np.r_[head[1:] - 1, len(item) - 1] if len(head) else head
-    matches = [{"item_id": int(block.ids[item[a]]) if block.known[item[a]] else None, "item_word": int(place[a]), "doc_word": int(word[a]), "n_words": int(word[b] + length[b] - word[a])} for a, b in zip(head, tail, strict=True)]
-    items = sorted({*old["items"], *(m["item_id"] for m in matches if m["item_id"] is not None)})
+    item = np.unique(np.concatenate([block.item[block.first[w] : block.first[w + 1]] for w in np.unique(window)]))
+    items = sorted({*old["items"], *block.ids[item[block.known[item]]].tolist()})
+    matches = [{"item_id": int(block.ids[i]) if block.known[i] else None, "item_word": q, "doc_word": p, "n_words": n} for i, q, p, n in zip(*(x.tolist() for x in longest), strict=True)]
     return {"hit_from": start.tolist(), "hit_to": end.tolist(), "items": items, "matches": [*old["matches"], *matches]}
 
 
@@ -154,15 +219,18 @@ def _pass(block: TestBlock, schema: pa.Schema, with_matches: bool):
             words, bounds = _word_hashes(piece.column(1))
             at, window = block.search(words, bounds)
             row = np.searchsorted(bounds, at, "right") - 1
-            order = np.argsort(row, kind="stable")
+            order = np.lexsort((window, at))
             at, window, row = at[order], window[order], row[order]
             cut = np.searchsorted(row, np.arange(piece.num_rows + 1))
+            longest = longest_matches(block, at, window, row) if with_matches and len(at) else (np.zeros(0, np.int64),) * 5
+            cut_longest = np.searchsorted(longest[0], np.arange(piece.num_rows + 1))
             carried = piece.num_columns > 2
             out = []
             for i in range(piece.num_rows):
                 old = {k: piece.column(piece.schema.get_field_index(k))[i].as_py() for k in _NONE} if carried else _NONE
-                a, b = cut[i], cut[i + 1]
-                out.append(_one_row(block, at[a:b] - bounds[i], window[a:b], old, with_matches) if b > a else old)
+                a, b, c, d = *cut[i : i + 2], *cut_longest[i : i + 2]
+                mine = [longest[1][c:d], longest[2][c:d], longest[3][c:d] - bounds[i], longest[4][c:d]]
+                out.append(_one_row(block, at[a:b] - bounds[i], window[a:b], old, mine) if b > a else old)
             n_words = pa.array(np.diff(bounds))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), n_words, *(pa.array([x[k] for x in out], schema.field(k).type) for k in _NONE)], schema=schema)
 
@@ -183,7 +251,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterato
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, with_matches: bool = True) -> DataFrame:
-    """Per row: the id, the text and HITS (matches: the longest verbatim matches and their word places, or nothing)."""
+    """Per row: the id, the text and HITS (matches: the longest verbatim match of each test suffix and its word places; none if not asked for)."""
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([*out.schema.fields[:2], *T.StructType.fromDDL(HITS)])
     arrow = pa.schema([("id", _arrow_type(out.schema[0].dataType)), ("text", pa.string()), ("n_words", pa.int64()), ("hit_from", pa.list_(pa.int32())), ("hit_to", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())])))])
@@ -203,5 +271,5 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows without any test window, with all their columns."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    clean = benchmark_hits(packed, items, "row", "text", item_col, item_text_col, with_matches=False).filter(F.size("hit_from") == 0)
+    clean = benchmark_hits(packed, items, "row", "text", item_col, item_text_col).filter(F.size("hit_from") == 0)
     return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -42,9 +42,12 @@ sizes AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS k FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS p FROM d, sizes)),
 hits AS (SELECT places.doc_id, places.n, p, item_id FROM places JOIN windows ON places.n = windows.n AND places.k = windows.k),
 words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(p, p + n - 1)) AS w FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
-SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+item_places AS (SELECT item_id, n, q, array_to_string(ws[q:q + n - 1], ' ') AS k FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) AS q FROM i WHERE len(ws) > 0)),
+equal_places AS (SELECT places.doc_id, item_id, places.n, p, p - q AS diagonal, p - row_number() OVER (PARTITION BY places.doc_id, item_id, p - q ORDER BY p) AS island FROM places JOIN item_places ON places.n = item_places.n AND places.k = item_places.k),
+longest AS (SELECT doc_id, max(words) AS words FROM (SELECT doc_id, count(*) + any_value(n) - 1 AS words FROM equal_places GROUP BY doc_id, item_id, diagonal, island) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest.words, 0) AS longest_match
+FROM d LEFT JOIN longest ON longest.doc_id = d.doc_id LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
 def _crc32(rows: str) -> str:

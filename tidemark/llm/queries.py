@@ -64,11 +64,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents inside windows of 10 benchmark words."""
-    hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), with_matches=False)
+    """Words of documents inside windows of 10 benchmark words, and the words of the longest verbatim match."""
+    hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     covered = F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return hits.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_from") > 0).alias("contaminated"))
+    return hits.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_from") > 0).alias("contaminated"), F.coalesce(F.array_max(F.col("matches")["n_words"]), F.lit(0)).cast("long").alias("longest_match"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

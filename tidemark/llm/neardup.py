@@ -19,7 +19,7 @@ so that similar texts always have one in common.
    counters a text) bound the similarity from above in blocks of BLOCK nodes, and the
    pairs which that bound admits are aligned there, each in one of the buckets that its
    nodes share. Only links between components leave a block. In a bucket of many
-   unrelated clusters the bounds are quadratic in their number, the rows are not.
+   unrelated clusters bounds and rows are quadratic in their number, the rows by blocks.
 4. A pair holds if the word edit distance is at most (1 - SIMILARITY) of the longer
    text. Bag-of-words distance bounds it from below; the rest is decided by a
    bit-parallel alignment inside a diagonal band, which grows up to that width.

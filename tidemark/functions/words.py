@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,16 +20,16 @@ def counted(n: Column, one: str, few: str, many: str) -> Column:
     return F.concat_ws(" ", n.cast("long").cast("string"), plural(n, one, few, many))
 
 
-def human_bytes(n: Column) -> Column:
-    """1024-based sizes: whole numbers from 100 on and for bytes, else one decimal."""
+def human_bytes(n: Column, units: Sequence[str] = V.BYTE_UNITS) -> Column:
+    """1024-based sizes, the last unit without an upper limit: whole numbers from 100 on and for bytes, else one decimal."""
     out = None
-    for i, unit in enumerate(V.BYTE_UNITS):
+    for i, unit in enumerate(units):
         value = n / float(1024**i)
         text = F.round(value).cast("long").cast("string")
         if i:
             text = F.when(value >= 100, text).otherwise(F.format_string("%.1f", value))
         text = F.concat(text, F.lit(f" {unit}"))
-        last = i + 1 == len(V.BYTE_UNITS)
+        last = i + 1 == len(units)
         out = (F.when(n.isNull() | (n < 0), "?") if out is None else out)
         out = out.otherwise(text) if last else out.when(n < float(1024 ** (i + 1)), text)
     return out

@@ -64,3 +64,20 @@ def test_bands_cover_every_bit():
     for n in (0, 1, 10, 10**4, 10**9):
         cut = nearest.bands(3, 64, n)
         assert sorted(b for word, a, w in cut if word == 1 for b in range(a, a + w)) == list(range(64))
+
+
+def random_vectors(n):
+    rng = random.Random(n)
+    return [(i, "abc"[i % 3], [rng.getrandbits(32) for _ in range(2)]) for i in range(n)]
+
+
+def test_far_vectors_take_no_broadcast_of_probes(spark, monkeypatch):
+    plans = {}
+    keep = nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    rows = random_vectors(200)
+    candidates = spark.createDataFrame(rows, "candidate long, day string, bits array<long>")
+    nearest.nearest(candidates.selectExpr("candidate AS query", "bits"), candidates, 5, 2, 32).collect()
+    assert not [p for p in plans["pairs"] if "Broadcast" in p]
+    # words at a distance are listed as long as they cost less than all pairs, which is one step here
+    assert len(plans["pairs"]) == 2 and "FlatMapCoGroupsInArrow" in plans["pairs"][1]

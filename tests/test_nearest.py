@@ -81,3 +81,21 @@ def test_far_vectors_take_no_broadcast_of_probes(spark, monkeypatch):
     assert not [p for p in plans["pairs"] if "Broadcast" in p]
     # words at a distance are listed as long as they cost less than all pairs, which is one step here
     assert len(plans["pairs"]) == 2 and "FlatMapCoGroupsInArrow" in plans["pairs"][1]
+
+
+@pytest.mark.parametrize(("name", "value"), [("BLOCK", 32), ("PAIRS_A_PROBE", 0)])
+def test_rivals_of_far_vectors(spark, monkeypatch, name, value):
+    """In several blocks of queries and candidates, and by probes alone."""
+    plans = []
+    keep = nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, name: (name == "pairs" and plans.append(df._jdf.queryExecution().executedPlan().toString())) or keep(df, name))
+    monkeypatch.setattr(nearest, name, value, raising=False)
+    rows = random_vectors(100)
+    candidates = spark.createDataFrame(rows, "candidate long, day string, bits array<long>")
+    found = nearest.nearest(candidates.selectExpr("candidate AS query", "bits"), candidates, 5, 2, 32, rival=True).collect()
+    for q, (best, days, total) in brute([(i, b) for i, _, b in rows], rows, 5).items():
+        mine = [r for r in found if r["query"] == q]
+        assert [(r.distance, r.candidate, r.day) for r in sorted((r for r in mine if r.place), key=lambda r: r.place)] == best
+        assert [(r.distance, r.candidate) for r in sorted((r for r in mine if r.day_place), key=lambda r: r.day_place)] == days
+        assert {r.compared for r in mine} == {total}
+    assert not [p for p in plans if "Broadcast" in p]

@@ -22,8 +22,11 @@ _BYTE_LEVEL = r" ?[<L>]+|'(?:[stmd]|re|ve|ll)| ?[<N>]+| ?[^\s<L><N>]+|\s+(?!\S)|
 _WORDS = r"[<L>]+|'(?:[stmd]|re|ve|ll)|[<N>]|[^\s<L><N>]+"
 #: How vocabulary files write the second one.
 _WORDS_WRITTEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Cached pre-tokens of a worker; when full the cache starts anew.
+#: Cached pre-tokens of a worker, about: when half of them are new, those that were not used since the last time go.
 CACHED = 400_000
+#: The characters that byte-level models have for the bytes 0 to 255: the printable ones stand for themselves.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: b if b in _PRINTED else 0x100 + len({*range(b)} - _PRINTED) for b in range(256)}
 
 
 def _compiled(template: str) -> re.Pattern:
@@ -32,6 +35,25 @@ def _compiled(template: str) -> re.Pattern:
     return re.compile(template.replace("<L>", members("L")).replace("<N>", members("N")))
 
 
+class _Known(dict):
+    """The ids of pre-tokens as little-endian bytes; what isn't known yet is encoded by the file's model."""
+
+    def __init__(self, model, width: int):
+        self.model, self.width, self.earlier = model, width, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.earlier.get(part)
+        if found is None:
+            found = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))])
+        self[part] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHED // 2:
+            self.earlier = dict(self)
+            self.clear()
+
+
 class Encoder:
     """ids() of texts as the library gives them with add_special_tokens=False."""
 
@@ -46,7 +68,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             pattern, self.lower = self._cut(json.load(file))
         self.pattern = pattern and _compiled(pattern)
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Known(self.tokenizer.model, self.dtype.itemsize)
 
     @staticmethod
     def _cut(spec: dict) -> tuple[str | None, bool]:
@@ -67,21 +89,16 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype; null is empty."""
         out: list[bytes] = [b""] * len(texts)
-        parts: list[tuple[int, list[str]]] = []
         whole = []
         for i, text in enumerate(texts):
             if text:
-                if self.pattern and not _ODD.search(text) and not (self.added and self.added.search(text)):
-                    parts.append((i, self.pattern.findall(text.lower() if self.lower else text)))
+                plain = self.pattern and not _ODD.search(text) and not (self.added and self.added.search(text))
+                lowered = text.lower() if plain and self.lower else text
+                if plain and (lowered is text or not _ODD.search(lowered)):
+                    self.cache.trim()
+                    out[i] = b"".join(map(self.cache.__getitem__, self.pattern.findall(lowered)))
                 else:
                     whole.append(i)
-        if new := [*set().union(*(p for _, p in parts)).difference(self.cache)]:
-            if len(self.cache) + len(new) > CACHED:
-                self.cache = {}
-                new = [*set().union(*(p for _, p in parts))]
-            self.cache.update(zip(new, self._packed(self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        for i, part in parts:
-            out[i] = b"".join(map(self.cache.__getitem__, part))
         for i, packed in zip(whole, self._packed(self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)), strict=True):
             out[i] = packed
         return out

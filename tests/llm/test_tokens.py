@@ -34,3 +34,11 @@ def test_pretokens_in_use_stay_known(monkeypatch, name):
     assert found == library(name, texts)
     assert len(counted.asked) == len(set(counted.asked)) > 1000
     assert len(encoder.cache) + len(encoder.cache.earlier) < 200
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_letters_whose_lower_case_is_far_away(name):
+    """U+0190 and U+023A are below U+0250, their lower-case letters are not."""
+    texts = ["aƐb ƐƐ Ⱥx", "Ɔkɔ 3Ɛ", "ÀÉ ab", "Ƀa ɃȺ"]
+    encoder = tokens.Encoder(vocabulary(name))
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.ids(texts)] == library(name, texts)

@@ -99,3 +99,17 @@ def test_rivals_of_far_vectors(spark, monkeypatch, name, value):
         assert [(r.distance, r.candidate) for r in sorted((r for r in mine if r.day_place), key=lambda r: r.day_place)] == days
         assert {r.compared for r in mine} == {total}
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_margin_decide_broadcasts_nothing(spark, monkeypatch):
+    """Neither the search nor the decision collects a table on the driver."""
+    from tidemark.queries import grouping
+
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    keep = nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, name: plan(df) or keep(df, name))
+    found = grouping.margin_decide(spark, "/root/testdata/sf0.001")
+    assert found.count() == 10
+    plan(found)
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]

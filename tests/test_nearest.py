@@ -101,6 +101,21 @@ def test_rivals_of_far_vectors(spark, monkeypatch, name, value):
     assert not [p for p in plans if "Broadcast" in p]
 
 
+def test_probes_that_meet_many_are_left_to_blocks(spark, monkeypatch):
+    """Words that many candidates share: the probes are few, the candidates that they meet are most of all."""
+    plans = []
+    keep = nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, name: (name == "pairs" and plans.append(df._jdf.queryExecution().executedPlan().toString())) or keep(df, name))
+    rng = random.Random(7)
+    rows = [(i, "abc"[i % 3], [rng.getrandbits(4)]) for i in range(700)]
+    candidates = spark.createDataFrame(rows, "candidate long, day string, bits array<long>")
+    queries = [(i, b) for i, _, b in rows if i % 100 == 0]
+    found = nearest.nearest(spark.createDataFrame(queries, "query long, bits array<long>"), candidates, 300, 1, 4, rival=True).collect()
+    for q, (best, _, _) in brute(queries, rows, 300).items():
+        assert [(r.distance, r.candidate, r.day) for r in sorted((r for r in found if r["query"] == q and r.place), key=lambda r: r.place)] == best
+    assert len(plans) == 2 and "FlatMapCoGroupsInArrow" in plans[1]
+
+
 def test_margin_decide_broadcasts_nothing(spark, monkeypatch):
     """Neither the search nor the decision collects a table on the driver."""
     from tidemark.queries import grouping
